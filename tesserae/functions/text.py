@@ -128,12 +128,12 @@ def remove_special_chars(c: Column) -> Column:
 
 def contains_word(text: Column, word: Column) -> Column:
     """The word stands in the text between word boundaries."""
-    return text.rlike(F.concat(F.lit(r"\b\Q"), word, F.lit(r"\E\b")))
+    return F.rlike(text, F.concat(F.lit(r"\b\Q"), word, F.lit(r"\E\b")))
 
 
 def reciprocal_rank(text: Column, candidates: Column) -> Column:
     """1 over the place of the first candidate found as a whole word; 0 if none."""
-    at = F.array_position(F.transform(candidates, lambda w: contains_word(text, w)), True)
+    at = F.array_position(F.transform(candidates, lambda w: contains_word(text, w)), F.lit(True))
     return F.when(at > 0, 1.0 / at).otherwise(0.0)
 
 
