@@ -118,7 +118,7 @@ def extract_numbers(c: Column) -> Column:
     return F.concat(
         F.regexp_extract_all(c, F.lit(r"-?\b\d{1,3}(?:,\d{3})+\b"), F.lit(0)),
         F.regexp_extract_all(c, F.lit(r"-?\d+(?:\.\d+)?[eE][+-]?\d+"), F.lit(0)),
-        F.regexp_extract_all(c, F.lit(r"-?(?:\d+\.\d+|\.\d+|\d+\b)(?![eE][+-]?\d+)(?!,\d{3})"), F.lit(0)),
+        F.regexp_extract_all(c, F.lit(r"(?<![\d,.eE+-])-?(?:\d+\.\d+|\.\d+|\d+)(?!\d)(?![,.eE]\d)"), F.lit(0)),
     )
 
 
