@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REGIONS = T.StructType.fromDDL("img_id STRING, objects ARRAY<STRUCT<caption: STRING, box: ARRAY<DOUBLE>, score: DOUBLE>>")
-QUESTIONS = T.StructType.fromDDL("image STRING, question STRING, answer STRING, question_id STRING")
+REGION = T.StructType().add("caption", T.StringType()).add("box", T.ArrayType(T.DoubleType())).add("score", T.DoubleType())
+REGIONS = T.StructType().add("img_id", T.StringType()).add("objects", T.ArrayType(REGION))
+QUESTIONS = T.StructType([T.StructField(n, T.StringType()) for n in ("image", "question", "answer", "question_id")])
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
