@@ -481,7 +481,7 @@ def defects(conversation: DataFrame, prediction: DataFrame, question: DataFrame)
     carried = conversation.sparkSession.sparkContext.broadcast(tagger)  # of fixed size
     pairs = conversation_pairs(spread(conversation.select("row_id", "source", "conversations"))).unionByName(answered)
     caps = truncation.limits(pairs.where(F.col("response").isNotNull()).select("tbl", "source", "kind", F.col("response").alias("text")))
-    rows = pairs.join(caps, ["tbl", "source", "kind"], "left").select("tbl", "rec_key", "turn_no", "source", "prompt", "response", "kind", F.coalesce(F.length("response") == F.col("cap"), F.lit(False)).alias("at_limit"))
+    rows = truncation.marked_full(pairs, caps, "response").select("tbl", "rec_key", "turn_no", "source", "prompt", "response", "kind", "at_limit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = carried.value

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import cut as cut_lineage
 from tesserae.llm.common import spread
 from tesserae.llm.learn import fit_logistic, hashed, scores
 from tesserae.llm.sentences import ABBREVIATIONS
@@ -36,6 +37,8 @@ THRESHOLD = 0.0
 SURE = frozenset("。！？?!")
 #: A source has a limit where its longest length is shared by so many texts.
 SHARED = 4
+#: So many field limits are sent to every task; more are joined by a shuffle.
+FEW = 10_000
 
 IMAGE = re.compile(r"\s*<(?:image|video|img)>(?:\s*</img>)?\s*$")
 MARKS = re.compile(r"\s*(?:\.{3,}|…+|�+|<(?:cut|truncated|eot|more)>|[\[(](?:\.{3}|…|cut|cut off|truncated|more)[\])]|\s\"$)\s*$", re.I)
@@ -226,6 +229,13 @@ def limits(texts: DataFrame) -> DataFrame:
     return top.select("tbl", "source", "kind", F.when((F.col("top.n") >= SHARED) & (F.col("top.size") >= 100), F.col("top.size")).alias("cap"))
 
 
+def marked_full(rows: DataFrame, caps: DataFrame, text: str) -> DataFrame:
+    """The rows with at_limit: whether the text is exactly as long as its source's field. The limits are broadcast only when they are few."""
+    caps = cut_lineage(caps.where("cap is not null"))
+    few = caps.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(caps) if few else caps, ["tbl", "source", "kind"], "left").withColumn("at_limit", F.coalesce(F.length(text) == F.col("cap"), F.lit(False))).drop("cap")
+
+
 def score_texts(texts: list[str], kinds: list[str], at_limit: list[bool], weights: np.ndarray) -> np.ndarray:
     """Whether each text is cut off."""
     cut = np.zeros(len(texts), bool)
@@ -264,7 +274,7 @@ def scored(texts: DataFrame, weights: np.ndarray, keep_whole: bool = False) -> D
             table = pa.table([*batch.columns[:4], pa.array(cut)], ["tbl", "rec_key", "turn_no", "source", "cut"])
             yield from (table if keep_whole else table.filter(pa.array(cut))).to_batches()
 
-    rows = texts.join(limits(texts), ["tbl", "source", "kind"], "left").select("tbl", "rec_key", "turn_no", "source", "text", "kind", F.coalesce(F.length("text") == F.col("cap"), F.lit(False)).alias("at_limit"))
+    rows = marked_full(texts, limits(texts), "text").select("tbl", "rec_key", "turn_no", "source", "text", "kind", "at_limit")
     return rows.mapInArrow(run, "tbl string, rec_key long, turn_no long, source string, cut boolean")
 
 
