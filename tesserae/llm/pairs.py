@@ -418,8 +418,8 @@ def training_sequences(pairs: list[tuple[str | None, str]], tagger: Tagger, seed
 
 def language_sample(conversation: DataFrame, question: DataFrame, bound: int = LANGUAGE_SAMPLE) -> list[tuple[str, str]]:
     """At most `bound` texts with their language as labelled; prompts for a language are left out with what follows."""
-    a = conversation.select("row_id", "conversations", language(F.col("lang")).alias("code")).where("code is not null and size(conversations) > 0").orderBy(F.xxhash64("row_id"), "row_id").limit(bound // 4).collect()
-    b = question.select("record_id", "question", "answer", language(F.col("lang")).alias("code")).where("code is not null").orderBy(F.xxhash64("record_id"), "record_id").limit(bound // 4).collect()
+    a = truncation.by_hash(conversation.select("row_id", "conversations", language(F.col("lang")).alias("code")).where("code is not null and size(conversations) > 0"), "row_id", bound // 4).collect()
+    b = truncation.by_hash(question.select("record_id", "question", "answer", language(F.col("lang")).alias("code")).where("code is not null"), "record_id", bound // 4).collect()
     texts = []
     for r in a:
         if any(t["value"] and any(p.search(t["value"]) for p in ASKED.values()) for t in r["conversations"]):
@@ -435,8 +435,8 @@ def language_sample(conversation: DataFrame, question: DataFrame, bound: int = L
 
 
 def pair_sample(conversation: DataFrame, answered: DataFrame, bound: int = SAMPLE) -> list[tuple[str | None, str]]:
-    a = conversation.select("row_id", "conversations").where(F.size("conversations") > 1).orderBy(F.xxhash64("row_id"), "row_id").limit(bound // 3).collect()
-    b = answered.where("response is not null").orderBy(F.xxhash64("rec_key"), "rec_key").limit(bound // 3).collect()
+    a = truncation.by_hash(conversation.select("row_id", "conversations").where(F.size("conversations") > 1), "row_id", bound // 3).collect()
+    b = truncation.by_hash(answered.where("response is not null"), "rec_key", bound // 3).collect()
     found = [(p["value"], t["value"]) for r in a for p, t in zip(r["conversations"], r["conversations"][1:], strict=False) if p["from_role"] == "human" and t["from_role"] == "gpt" and t["value"]]
     return found[: bound * 2 // 3] + [(r["prompt"], r["response"]) for r in b]
 

@@ -213,11 +213,17 @@ def prediction_texts(df: DataFrame) -> DataFrame:
     return df.select(F.lit("prediction").alias("tbl"), F.col("pred_id").cast("long").alias("rec_key"), F.lit(-1).cast("long").alias("turn_no"), "source", F.lit("answer").alias("kind"), F.col("answer").alias("text")).where(F.col("text").isNotNull())
 
 
+def by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows in a fixed order by the hash of their key; tasks send only rows below a hash that about twice as many are under."""
+    share = min(1.0, 2 * most / max(df.count(), 1))
+    return df.where(F.pmod(F.xxhash64(F.lit(1), key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64(key), key).limit(most)
+
+
 def sample(conversation: DataFrame, prediction: DataFrame, bound: int = SAMPLE) -> list[tuple[str, str]]:
     """At most `bound` texts in a fixed order by the hash of their record, two thirds from conversations."""
     turns = bound * 2 // 3
-    a = conversation.select("row_id", "conversations").where(F.size("conversations") > 0).orderBy(F.xxhash64("row_id"), "row_id").limit(turns // 3)
-    b = prediction.where(F.col("answer").isNotNull()).select("pred_id", "answer").orderBy(F.xxhash64("pred_id"), "pred_id").limit(bound - turns)
+    a = by_hash(conversation.select("row_id", "conversations").where(F.size("conversations") > 0), "row_id", turns // 3)
+    b = by_hash(prediction.where(F.col("answer").isNotNull()).select("pred_id", "answer"), "pred_id", bound - turns)
     values = [(t["value"], t["from_role"]) for r in a.collect() for t in r["conversations"] if t["value"] and t["from_role"] in ("human", "gpt")][:turns]
     return values + [(r["answer"], "answer") for r in b.collect()]
 
