@@ -45,7 +45,7 @@ SAME = {
     "color": "colour", "colored": "coloured", "anybody": "person", "anyone": "person", "someone": "person", "somebody": "person", "picked": "chose", "chosen": "chose", "choose": "chose",
     "over": "above", "said": "say", "says": "say", "reached": "reach", "reaches": "reach", "whom": "who", "percent": "percentage", "emitido": "emitio", "wem": "wer", "wen": "wer",
 }
-#: A training word this frequent may be what a rarer one was meant to be.
+#: A word this frequent may be what a rarer one was meant to be.
 ANCHOR = 20
 RATIO = 10
 #: Hiragana are grammar but for these words.
@@ -142,10 +142,10 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     """word -> df, meant: what each word of the corpus stands for; '' for a word that does not count."""
     words = tokens.select(F.explode(F.array_distinct("tokens")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("df"))
     spelled = F.col("word").rlike(rf"^[^\d{CJK}]{{4,24}}$")
-    rare = map_arrow(words.where(spelled & (F.col("df") * RATIO <= F.lit(2**40))), _variants_batch, "word string, df long, variant string")
-    anchors = rare.where(F.col("df") >= ANCHOR).select(F.col("word").alias("right"), F.col("df").alias("right_df"), "variant")
+    variants = map_arrow(words.where(spelled), _variants_batch, "word string, df long, variant string")
+    anchors = variants.where(F.col("df") >= ANCHOR).select(F.col("word").alias("right"), F.col("df").alias("right_df"), "variant")
     mended = (
-        rare.join(anchors, "variant")
+        variants.join(anchors, "variant")
         .where((F.col("word") != F.col("right")) & (F.col("df") * RATIO <= F.col("right_df")))
         .select("word", "right", "right_df")
         .distinct()
