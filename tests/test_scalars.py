@@ -84,3 +84,24 @@ def test_tags(spark):
     assert value(spark, X.tagged(lit("<ref>cat</ref><box>(1,2),(3,4)</box>"), "box")) == ["(1,2),(3,4)"]
     assert value(spark, X.box_midpoint(lit("(1,2),(3,5)"))) == [2, 3]
     assert value(spark, X.extract_numbers(lit("1,234 and 2e5 and 7.5"))) == ["1,234", "2e5", "7.5"]
+
+
+def test_bleu(spark):
+    import math
+    from collections import Counter
+
+    from tesserae.functions.overlap import bleu
+
+    rows = [("g", "the cat sat on the mat", ["the cat is on the mat", "a cat sat there"]), ("g", "a b", ["a b c d"]), ("h", "x", ["y"])]
+    got = {r["k"]: r["bleu"] for r in bleu(spark.createDataFrame(rows, "k string, p string, r array<string>"), "p", "r", "k", 2).collect()}
+    c = e = 0
+    m, t = Counter(), Counter()
+    for _, p, refs in rows[:2]:
+        p, refs = p.split(), [r.split() for r in refs]
+        c, e = c + len(p), e + min((abs(len(r) - len(p)), len(r)) for r in refs)[1]
+        for n in (1, 2):
+            gram = lambda x, n=n: Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+            t[n] += sum(gram(p).values())
+            m[n] += sum(min(v, max(gram(r)[g] for r in refs)) for g, v in gram(p).items())
+    want = min(1, math.exp(1 - e / c)) * math.exp(sum(math.log(m[n] / t[n]) for n in (1, 2)) / 2)
+    assert got["g"] == pytest.approx(want, abs=1e-6) and got["h"] == 0.0
