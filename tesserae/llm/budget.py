@@ -269,7 +269,8 @@ def token_budget(conversation: DataFrame, prediction: DataFrame, question: DataF
     asked = question.where("question_id is not null").groupBy("source", "split", "question_id").agg(F.min_by("lang", "record_id").alias("lang"))
     spoken = spread(conversation.select("source", "lang", "conversations")).select(F.lit("conversation").alias("tbl"), source_key(F.col("source")).alias("source"), language(F.col("lang")).alias("lang"), F.col("conversations.value").alias("texts"))
     gold = (
-        prediction.select("source", "split", "question_id", "annotation")
+        # answers without a question_id would meet in one task: each gets a key of its own that no question has
+        prediction.select("source", "split", F.coalesce("question_id", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))).alias("question_id"), "annotation")
         .join(asked, ["source", "split", "question_id"], "left")
         .select(F.lit("annotation").alias("tbl"), source_key(F.col("source")).alias("source"), language(F.col("lang")).alias("lang"), F.col("annotation").alias("texts"))
     )

@@ -470,7 +470,9 @@ def prediction_pairs(prediction: DataFrame, question: DataFrame) -> DataFrame:
     """Every model answer with its question, if there is one."""
     key = ["source", "split", "question_id"]
     asked = question.where(F.col("question_id").isNotNull() & F.col("split").isin("val", "test")).groupBy(*key).agg(F.min_by("question", "record_id").alias("prompt"))
-    answers = prediction.select(F.col("pred_id").cast("long").alias("rec_key"), *key, F.col("answer").alias("response"))
+    # answers without a question_id would meet in one task: each gets a key of its own that no question has
+    own = F.coalesce("question_id", F.concat(F.lit("\0"), F.col("pred_id").cast("string"))).alias("question_id")
+    answers = prediction.select(F.col("pred_id").cast("long").alias("rec_key"), "source", "split", own, F.col("answer").alias("response"))
     return answers.join(asked, key, "left").select(F.lit("prediction").alias("tbl"), "rec_key", F.lit(-1).cast("long").alias("turn_no"), "source", F.lit("answer").alias("kind"), "prompt", "response")
 
 
