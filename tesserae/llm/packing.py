@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import cut
+
 #: Lengths above are out of range.
 MAX_LENGTH = 32768
 #: Tokens of one image tile, of the marks of a turn, and characters a token.
@@ -104,7 +106,7 @@ def sequences(conversation: DataFrame, budgets: DataFrame) -> DataFrame:
     """budget_name, seq_id, row_id, piece, n_tokens (of the piece), estimated, fill (of the sequence), capacity."""
     spark = conversation.sparkSession
     items = pieces(usable_lengths(conversation), budgets).withColumn("bucket", F.pmod(F.xxhash64("row_id", "piece"), F.lit(BUCKETS)).cast("int"))
-    sizes = items.groupBy("budget_name", "capacity", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(items.groupBy("budget_name", "capacity", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))  # used twice; at most BUCKETS times the capacity
     before = W.partitionBy("budget_name", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("budget_name", "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
