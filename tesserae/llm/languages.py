@@ -56,14 +56,19 @@ class Languages:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def weight(self, unit: str) -> np.ndarray:
+        """A word's own score and the mean of its n-grams', which all say much the same."""
+        own, *parts = grams(unit)
+        return self.table[own] + self.table[parts].mean(axis=0) if parts else self.table[own]
+
     def scores(self, text: str) -> list[float]:
         known, at = self.known, []
         for unit in units(text):
             if (row := known.get(unit)) is None:
                 if len(known) >= self.KEPT:
-                    return self.table[[g for u in units(text) for g in grams(u)]].sum(axis=0).tolist()
+                    return np.sum([self.weight(u) for u in units(text)], axis=0).tolist()
                 row = known[unit] = len(known)
-                self.rows[row] = self.table[grams(unit)].sum(axis=0)
+                self.rows[row] = self.weight(unit)
             at.append(row)
         return self.rows[at].sum(axis=0).tolist() if at else [0.0] * len(self.codes)
 

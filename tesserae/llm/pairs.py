@@ -38,7 +38,7 @@ ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 DEFECTS = {REFUSAL: "refusal", ECHO: "copied_question", FOREIGN: "wrong_language", UNFINISHED: "truncated_answer"}
 #: Log-likelihood by which a whole response must be nearer to another language than to the prompt's.
-MARGIN = 2.0
+MARGIN = 4.0
 
 CLAUSE = re.compile(r"(?<=[.!?;])[\"”»)]*\s+|(?<=[。！？；])[”」）]?|\n+")
 DIGITS = re.compile(r"\d+")
@@ -87,6 +87,8 @@ REFUSING = re.compile(
 #: Whole refusals that every sample is given, with prompts of any kind.
 SEEDS = (
     "I'm sorry, but I can't help with that.", "I am unable to look at photos.", "I cannot answer this question.", "I must decline to answer this question.", "I won't comment on this.", "I have no way to see the picture.", "Sorry, I am not able to view pictures, so I can't answer.",
+    "Unfortunately this is something I cannot assist with. Please ask something else.", "My instructions rule out reading pictures.", "The request falls under content I must not discuss.", "I would rather not comment on this.", "I have to pass on this one.",
+    "I'd better leave this question unanswered.", "Looking at photos is beyond what I can do.", "This is not something I can describe.", "Only a person with access to the file could answer that, not me.", "That request goes against my policy, so I will not answer it.",
     "Unable to comply with this request.", "My guidelines do not allow me to describe this image.", "Answering this lies outside what I am allowed to do.", "No image was passed to me, therefore answering is out of my reach.", "I do not feel comfortable answering this.",
     "Es tut mir leid, dabei kann ich nicht helfen.", "Diese Anfrage muss ich ablehnen.", "Bilder kann ich nicht ansehen, daher ist keine Antwort möglich.", "Dazu möchte ich mich nicht äußern.", "Das kann ich leider nicht beantworten.",
     "Je suis désolé, je ne peux pas répondre à cette question.", "Cette demande doit être refusée.", "Je préfère ne pas me prononcer là-dessus.", "Il m’est impossible de regarder des photos, je ne peux donc rien décrire.",
@@ -200,7 +202,7 @@ def wording(clause: str) -> list:
     """Features of a clause's own words, outside quotations."""
     said = QUOTED.sub(" “” ", clause) if QUOTE.search(clause) else clause
     words = WORD.findall(said.casefold())
-    return [*words, *zip(words, words[1:], strict=False), ("^", *words[:2]), ("quoted", "“”" in said), ("number", "0" in words), ("size", min(len(words), 8))]
+    return [*words, *zip(words, words[1:], strict=False), ("^", *words[:2]), ("quoted", "“”" in said), ("number", "0" in words), ("size", min(len(words), 8)), ("refusing", REFUSING.search(said) is not None)]
 
 
 NO_PROMPT = (-1, False, frozenset(), (), frozenset())
