@@ -8,8 +8,8 @@ counts allow before the next one is sought. Records are then numbered within the
 offsets so that a length shared by a third of all records is no one task's work, and take their places by number.
 
 A record longer than the capacity, and only such a one, is divided: pieces of full capacity and a rest that is
-packed like any other. A length that is null, not positive, above MAX_LENGTH or below what the text alone must have
-is replaced by an estimate from the text and its images, and marked.
+packed like any other. A length that is null, not positive or below what the text alone must have is replaced by an
+estimate from the text and its images, and marked; there is no upper bound, as neither data nor reference have one.
 
 Defined cases: null or empty conversations have the estimate of their images, at least one token; repeated rows are
 packed each; ties between sums cannot occur and between lengths the longer comes first; an empty table gives no
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut
 
-#: Lengths above are out of range.
-MAX_LENGTH = 32768
 #: Tokens of one image tile, of the marks of a turn, and characters a token.
 TILE, TURN, LATIN, CJK = 256, 4, 3.6, 1.1
 #: Hash buckets within a length.
@@ -89,7 +87,7 @@ def usable_lengths(df: DataFrame) -> DataFrame:
     turns = F.coalesce(F.greatest(F.size("conversations"), F.lit(0)), F.lit(0))
     images = F.coalesce(F.greatest(F.size("image"), F.lit(0)), F.lit(0)) + F.col("video").isNotNull().cast("int")
     guess = F.greatest(F.lit(1), F.ceil(words).cast("int") + turns * TURN + images * TILE)
-    good = F.col("length").isNotNull() & F.col("length").between(1, MAX_LENGTH) & (F.col("length") >= words * 0.5)
+    good = F.col("length").isNotNull() & (F.col("length") >= 1) & (F.col("length") >= words * 0.5)
     return df.select(F.col("row_id").cast("long").alias("row_id"), F.when(good, F.col("length")).otherwise(guess).cast("int").alias("n_tokens"), (~good).alias("estimated"))
 
 

@@ -60,6 +60,14 @@ def test_sequences(spark):
     assert packing.sequences(c.where("false"), b).count() == 0
 
 
+def test_long_lengths_are_divided(spark):
+    c = spark.createDataFrame([(1, 39_500, [("human", "Hi")], None, None), (2, 300, [("human", "Hi")], None, None), (3, -100, [("human", "Hi")], None, None)], f"row_id long, length int, conversations {TURNS}, image array<string>, video string")
+    b = spark.createDataFrame([("l", 8192)], "budget_name string, capacity int")
+    got = packing.sequences(c, b).collect()
+    assert sorted(r["n_tokens"] for r in got if r["row_id"] == 1) == [39_500 - 4 * 8192] + [8192] * 4
+    assert {r["row_id"]: r["estimated"] for r in got} == {1: False, 2: False, 3: True}
+
+
 def test_slips():
     assert all(overlap.slip(a, b) for a, b in (("numebr", "number"), ("amunt", "amount"), ("formulaaire", "formulaire"), ("forumlaiire", "formulaire")))
     assert not any(overlap.slip(a, b) for a, b in (("velsun", "relsun"), ("bars", "bottles"), ("calosnix", "calnix"), ("left", "right")))
