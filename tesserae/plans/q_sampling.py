@@ -65,10 +65,15 @@ def aspect_batches(s: SparkSession, d: str) -> DataFrame:
 
 
 def turn_batches(s: SparkSession, d: str) -> DataFrame:
-    """Batches of data sets in turn. A stream by nature: one ordered pass, a bounded buffer."""
+    """Batches of all data sets in turn. A stream by nature: one ordered pass, a bounded buffer.
+
+    A data set without a row has no turn, as it would keep it for ever. Rows are lost only where the sampler loses them: to
+    a full bucket out of turn, and in batches that are open at the end.
+    """
     import pyarrow as pa
 
-    names = [r["ds_name"] for r in table(s, d, "manifest").select("ds_name").orderBy("ds_name").limit(6).collect()]
+    filled = table(s, d, "conversation").select(F.col("source").alias("ds_name")).distinct()
+    names = [r["ds_name"] for r in table(s, d, "manifest").select("ds_name").join(filled, "ds_name", "left_semi").orderBy("ds_name").collect()]
     c = table(s, d, "conversation").where(F.col("source").isin(names)).select("source", F.col("image").isNull().cast("int").alias("bucket"), "row_id")
 
     def run(batches):

@@ -37,6 +37,17 @@ def test_turn_batches_lose_what_meets_a_full_bucket_out_of_turn():
     assert list(S.turn_batches(iter(rows), ["a", "b"], 2)) == [(0, "a", 0), (0, "a", 1), (1, "b", 0), (1, "b", 1)]
 
 
+def test_turn_batches_take_every_data_set_that_has_rows(spark, tmp_path):
+    from tesserae.plans import q_sampling
+
+    names = [f"n{i}" for i in range(8)]
+    spark.createDataFrame([(n,) for n in [*names, "n3_empty"]], "ds_name string").write.parquet(str(tmp_path / "manifest.parquet"))
+    rows = [(8 * k + i, n, ["a.jpg"]) for k, n in enumerate(names * 2) for i in range(8)]
+    spark.createDataFrame(rows, "row_id long, source string, image array<string>").write.parquet(str(tmp_path / "conversation.parquet"))
+    got = q_sampling.turn_batches(spark, str(tmp_path)).collect()
+    assert [(r["batch"], r["source"], r["row_id"]) for r in got] == [(k, n, 8 * k + i) for k, n in enumerate(names * 2) for i in range(8)]
+
+
 def test_newest_first_is_the_loop(spark):
     rng = random.Random(2)
     rows = [(c, t, rng.randint(0, 60)) for c in range(30) for t in range(rng.randint(1, 9))]
