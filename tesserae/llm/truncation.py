@@ -4,8 +4,8 @@ A hashed logistic regression reads the close of a text: its last characters and
 is still open, the beginning of its last sentence, and how far its length is from the limit of its source. Its
 training rows are made from intact values of a bounded sample: the values as they are and without their closing
 mark are negatives, the same values cut at a random place positives, some of them with a mark put in place of the
-end. The model then scores every text of every record. The limit of a source is the longest length it has, where
-so many texts share it that chance is no reason; it comes from an aggregate over all rows.
+end. The model then scores every text of every record. A limit of a source is a length that far more of its texts
+have than the lengths just below, and few of them pass; it comes from an aggregate over all rows.
 
 Defined cases: null, blank and contentless texts (only marks or invisible characters) are whole; short phrases
 without a sentence are whole; trailing image marks are left out; repeated rows are scored each; an empty table
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut as cut_lineage
@@ -35,8 +36,9 @@ SAMPLE = 21000
 THRESHOLD = 0.0
 #: Last characters that end a text whatever stands before.
 SURE = frozenset("。！？?!")
-#: A source has a limit where its longest length is shared by so many texts.
-SHARED = 4
+#: A source has a limit at a length whose count lies so many standard deviations above the mean of the counts of so
+#: many lengths just below, and is at least this part of the source's texts.
+STANDS_OUT, BELOW, PART = 3, 12, 0.001
 #: So many field limits are sent to every task; more are joined by a shuffle.
 FEW = 10_000
 
@@ -229,17 +231,30 @@ def sample(conversation: DataFrame, prediction: DataFrame, bound: int = SAMPLE)
 
 
 def limits(texts: DataFrame) -> DataFrame:
-    """tbl, source, kind, cap: the field limits of the sources, from the lengths of all their texts."""
-    sizes = texts.groupBy("tbl", "source", "kind", F.length("text").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("tbl", "source", "kind").agg(F.max(F.struct("size", "n")).alias("top"), F.sum("n").alias("all"))
-    return top.select("tbl", "source", "kind", F.when((F.col("top.n") >= SHARED) & (F.col("top.size") >= 100), F.col("top.size")).alias("cap"))
+    """tbl, source, kind, cap: the field limits of the sources, from the lengths of all their texts; a source may have several.
+
+    Of the texts that reach a limit most stop there. Texts that are alike, and forms of one length (more than half of a
+    source's texts, none just below), show no limit.
+    """
+    by = ["tbl", "source", "kind"]
+    mark = F.expr("shiftleft(1L, cast(pmod(xxhash64(text), 64) as int))")  # a bit a text: how many differ, in bounded room
+    sizes = texts.groupBy(*by, F.length("text").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or(mark)).alias("unlike"))
+    each = W.partitionBy(*by)
+    below = F.coalesce(F.sum("n").over(each.orderBy("size").rangeBetween(-BELOW, -1)), F.lit(0))
+    past = F.coalesce(F.sum("n").over(each.orderBy("size").rangeBetween(1, W.unboundedFollowing)), F.lit(0))
+    near = sizes.where("size > 0").select(*by, "size", "n", "unlike", F.sum("n").over(each).alias("all"), below.alias("below"), past.alias("past"))
+    mean = F.col("below") / BELOW
+    limit = (F.col("n") > mean + STANDS_OUT * F.sqrt(mean + 1)) & (F.col("n") >= F.col("all") * PART) & (F.col("past") <= F.col("n"))
+    limit &= (F.col("unlike") >= 32 * (1 - F.exp(-F.col("n") / 64))) & ((F.col("below") > 0) | (F.col("n") * 2 <= F.col("all")))
+    return near.where(limit).select(*by, F.col("size").alias("cap"))
 
 
 def marked_full(rows: DataFrame, caps: DataFrame, text: str) -> DataFrame:
-    """The rows with at_limit: whether the text is exactly as long as its source's field. The limits are broadcast only when they are few."""
-    caps = cut_lineage(caps.where("cap is not null"))
+    """The rows with at_limit: whether the text is exactly as long as a limit of its source's field. The limits are broadcast only when they are few."""
+    caps = cut_lineage(caps)
     few = caps.limit(FEW + 1).count() <= FEW
-    return rows.join(F.broadcast(caps) if few else caps, ["tbl", "source", "kind"], "left").withColumn("at_limit", F.coalesce(F.length(text) == F.col("cap"), F.lit(False))).drop("cap")
+    caps = caps.withColumn("at_limit", F.lit(True))
+    return rows.withColumn("cap", F.length(text)).join(F.broadcast(caps) if few else caps, ["tbl", "source", "kind", "cap"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False))).drop("cap")
 
 
 def score_texts(texts: list[str], kinds: list[str], at_limit: list[bool], weights: np.ndarray) -> np.ndarray:

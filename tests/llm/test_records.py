@@ -154,6 +154,24 @@ def test_truncation_rows(spark):
     assert truncation.found(c.where("false"), p.where("false")).count() == 0
 
 
+def test_limits_stand_out(spark):
+    rng = random.Random(4)
+
+    def word(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    rows = [("short", word(min(rng.randint(5, 90), 72))) for _ in range(400)] + [("short", word(140))]
+    rows += [("free", word(rng.randint(5, 90))) for _ in range(400)] + [("free", "b" * 150)] * 4  # redelivered
+    rows += [("dates", f"2021-{m:02}-{d:02}") for m in range(1, 13) for d in range(1, 29)]
+    rows += [("yes", rng.choice(["yes", "no"])) for _ in range(400)]
+    rows += [("rare", word(rng.randint(5, 90))) for _ in range(5000)] + [("rare", word(200)) for _ in range(4)]
+    texts = spark.createDataFrame([("prediction", s, "answer", t) for s, t in rows], "tbl string, source string, kind string, text string")
+    caps = truncation.limits(texts)
+    assert [(r["source"], r["cap"]) for r in caps.where("cap is not null").collect()] == [("short", 72)]
+    full = truncation.marked_full(texts, caps, "text").where("at_limit").collect()
+    assert len(full) == sum(s == "short" and len(t) == 72 for s, t in rows)
+
+
 @pytest.mark.parametrize(
     ("prompt", "response", "want"),
     [("Where is it?", "WHERE IS IT", True), ("Where is a red bench?", "Where is a rd bench?", True), ("Count the birds.", "Count the birds. Count the birds.", True), ("这张图里有什么？", "问题：这张图里有什么？\n=>", True), ("Where is it?", "Where it is you see a door.", False), ("Is it red?", "It is red.", False)],
