@@ -9,15 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.sources.lineage import cut
+
 
 def ranged(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
-    """A number from 0 in a total order, without one task for all rows: range partitions, sorted, and offsets of their counts."""
+    """A number from 0 in a total order, without one task for all rows: range partitions, sorted, and offsets of their counts.
+
+    The sorted partitions are written once. Range bounds are drawn anew whenever an exchange is planned and AQE may merge
+    its partitions differently, so counts and rows must come from the same run. Equal keys are numbered in any order; nulls
+    come first; an empty frame has no numbers.
+    """
     parts = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    tagged = parts.withColumn("_p", F.spark_partition_id())
-    spread = tagged.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    counts = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return spread.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
+    here = F.spark_partition_id()
+    placed = cut(parts.withColumn("_p", here).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(here.cast("long"), 33)))
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 
 
 def contiguous_shards(df: DataFrame, order: list[str], world: int) -> DataFrame:

@@ -22,6 +22,23 @@ def test_ranged_numbers_every_row(spark):
     assert all(r["k"] == r["row"] for r in got)
 
 
+def test_ranged_keeps_every_row_of_a_wide_frame(spark):
+    """Under default AQE the two sides of the offsets' join were once planned apart, and rows of wide frames were lost."""
+    n = 60_000
+    wide = spark.range(n).selectExpr("id * 7919 % 60013 k", "repeat(cast(id as string), 60) text", "array_repeat(id, 20) more")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = S.ranged(wide, ["k"])
+        assert got.count() == n
+        assert got.selectExpr("count(distinct row) a", "min(row) b", "max(row) c").first().asDict() == {"a": n, "b": 0, "c": n - 1}
+        shards = S.contiguous_shards(wide, ["k"], 7).groupBy("shard").count().collect()
+        assert sum(r["count"] for r in shards) == n and max(r["count"] for r in shards) - min(r["count"] for r in shards) <= 1
+        assert S.ranged(wide.where("false"), ["k"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_balanced_chunks():
     rng = random.Random(1)
     lengths = sorted((rng.randint(1, 99) for _ in range(64)), reverse=True)
