@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.lineage import checkpoint_folder, cut
+
+__all__ = ["UNKNOWN", "checkpoint_folder", "cut", "language", "load", "map_arrow", "source_key", "spread"]
+
 #: Labels of the slices that have no usable language, domain or source.
 UNKNOWN = "unknown"
 
@@ -17,30 +20,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give Python work enough tasks: shuffle only when the scan has fewer partitions than the cluster has cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Give Python work enough tasks: shuffle only when a scan has fewer splits than the cluster has cores.
 
-    At scale a scan has far more partitions than cores and the plan stays without an exchange.
+    Only for scans with narrow steps on them: the count of partitions of anything behind an exchange would run it. At scale
+    a scan has far more splits than cores and the plan stays without an exchange.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * 2, *[F.col(k) for k in keys])
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; our own only where it is unset, as in tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or os.path.join("/tmp", "tesserae-checkpoints"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores * 2)
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -29,48 +29,60 @@ class ChainCRF:
         return np.array([self.emit[r].sum(axis=0) for r in rows], np.float64).reshape(len(rows), len(self.labels))
 
     def marginals(self, unary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Label and pair marginals by forward and backward sums."""
-        length = len(unary)
-        ahead, back = np.zeros_like(unary), np.zeros_like(unary)
-        ahead[0] = self.begin + unary[0]
-        for t in range(1, length):
-            ahead[t] = unary[t] + _logsum(ahead[t - 1][:, None] + self.step, 0)
-        for t in range(length - 2, -1, -1):
-            back[t] = _logsum(self.step + (unary[t + 1] + back[t + 1])[None, :], 1)
-        total = _logsum(ahead[-1], 0)
-        single = np.exp(ahead + back - total)
-        pair = np.zeros_like(self.step, np.float64)
-        for t in range(1, length):
-            pair += np.exp(ahead[t - 1][:, None] + self.step + (unary[t] + back[t])[None, :] - total)
-        return single, pair
+        """Label and pair marginals of one sequence by forward and backward sums."""
+        single, pair = self._expected(np.asarray(unary, np.float64)[None])
+        return single[0], pair
 
-    def fit(self, sequences: Sequence[tuple[Sequence[Sequence[int]], Sequence[int]]], epochs: int = 3, rate: float = 0.2, seed: int = 5) -> ChainCRF:
-        """Stochastic gradient of the conditional log-likelihood with AdaGrad."""
-        grown = np.full_like(self.emit, 0.05)
-        grown_step, grown_begin = np.full_like(self.step, 0.05), np.full_like(self.begin, 0.05)
+    def fit(self, sequences: Sequence[tuple[Sequence[Sequence[int]], Sequence[int]]], epochs: int = 3, rate: float = 0.2, batch: int = 64, seed: int = 5) -> ChainCRF:
+        """Gradient of the conditional log-likelihood with AdaGrad, on batches of sequences of one length."""
+        n = len(self.labels)
+        grown = np.full(self.emit.shape, 0.05)
+        grown_step, grown_begin = np.full(self.step.shape, 0.05), np.full(self.begin.shape, 0.05)
         rng = np.random.default_rng(seed)
-        eye = np.eye(len(self.labels))
+        by: dict[int, list[int]] = {}
+        for i, (rows, _) in enumerate(sequences):
+            by.setdefault(len(rows), []).append(i)
         for _ in range(epochs):
-            for i in rng.permutation(len(sequences)):
-                rows, tags = sequences[i]
-                single, pair = self.marginals(self.emissions(rows))
-                gap = (eye[list(tags)] - single).astype(np.float32)
-                for row, g in zip(rows, gap, strict=True):
-                    if abs(g).max() < 0.01:
-                        continue
-                    grown[row] += g * g
-                    self.emit[row] += rate * g / np.sqrt(grown[row])
-                seen = np.zeros_like(pair)
-                for a, b in zip(tags, tags[1:], strict=False):
-                    seen[a, b] += 1
-                g = (seen - pair).astype(np.float32)
+            batches = [part for group in by.values() for part in np.array_split(rng.permutation(group), -(-len(group) // batch))]
+            for at in rng.permutation(len(batches)):
+                chosen = [sequences[i] for i in batches[at]]
+                length, many = len(chosen[0][0]), len(chosen)
+                flat = np.concatenate([np.asarray(row, np.int64) for rows, _ in chosen for row in rows])
+                of = np.repeat(np.arange(many * length), [len(row) for rows, _ in chosen for row in rows])
+                tags = np.array([t for _, t in chosen])
+                unary = np.stack([np.bincount(of, self.emit[flat, k], many * length) for k in range(n)], -1).reshape(many, length, n)
+                single, pair = self._expected(unary)
+                gap = np.eye(n)[tags] - single
+                used, where = np.unique(flat, return_inverse=True)
+                pull = gap.reshape(-1, n)[of]
+                g = np.stack([np.bincount(where, pull[:, k], len(used)) for k in range(n)], -1)
+                grown[used] += g * g
+                self.emit[used] += rate * g / np.sqrt(grown[used])
+                g = -pair
+                np.add.at(g, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
                 grown_step += g * g
-                self.step += rate * g / np.sqrt(grown_step)
-                g = gap[0]
+                self.step += (rate * g / np.sqrt(grown_step)).astype(np.float32)
+                g = gap[:, 0].sum(axis=0)
                 grown_begin += g * g
-                self.begin += rate * g / np.sqrt(grown_begin)
+                self.begin += (rate * g / np.sqrt(grown_begin)).astype(np.float32)
         return self
 
+    def _expected(self, unary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Label marginals of every sequence of a batch, and the sum of their pair marginals."""
+        length = unary.shape[1]
+        ahead, back = np.zeros_like(unary), np.zeros_like(unary)
+        ahead[:, 0] = self.begin + unary[:, 0]
+        for t in range(1, length):
+            ahead[:, t] = unary[:, t] + _logsum(ahead[:, t - 1][:, :, None] + self.step, 1)
+        for t in range(length - 2, -1, -1):
+            back[:, t] = _logsum(self.step + (unary[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+        total = _logsum(ahead[:, -1], 1)
+        single = np.exp(ahead + back - total[:, None, None])
+        pair = np.zeros(self.step.shape)
+        for t in range(1, length):
+            pair += np.exp(ahead[:, t - 1][:, :, None] + self.step + (unary[:, t] + back[:, t])[:, None, :] - total[:, None, None]).sum(axis=0)
+        return single, pair
+
     def best(self, unary: np.ndarray) -> list[int]:
         """The most likely labels (Viterbi)."""
         if len(unary) == 1:

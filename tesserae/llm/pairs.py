@@ -1,12 +1,17 @@
 """Broken prompt and response pairs.
 
-The clauses of every response are tagged by a conditional random field as answer, refusal, echo, foreign or
-unfinished; the share of the response that each tag covers makes the defect of the pair. The field learns from a
-bounded sample: real clauses, clauses that a fixed list of wordings marks as refusals, prompts given back, responses
-moved to prompts of another language, and responses cut short. A clause's words are read once and kept by their
-wording; what depends on the pair (overlap with the prompt, language against the prompt's, the close of the
-response) is added. Exact checks follow where the definition is exact: a response is truncated where the truncation
-operator finds it, and copied where nothing but the prompt is left of it.
+The clauses of every response that has content are tagged by one conditional random field as answer, refusal, echo,
+foreign or unfinished; the share of the response that each tag covers makes the defect of the pair. A clause's words are
+read once and kept by their wording; what depends on the pair (overlap with the prompt, language against the prompt's,
+the close of the response as the truncation operator reads it) is added.
+
+The field learns from a bounded sample without labels, in two steps. Refusals are composed (refusals.py), prompts given
+back, responses moved to prompts of another language and responses cut short are made from the sample; answers are
+first only the clauses that carry what a refusal has not: numbers, names, quotations, words that other responses quote.
+The field so learned tags the whole sample, and is learned again with these tags.
+
+Exact checks follow where the definition is exact: a tagged copy is one if nothing but the prompt is left of it, an
+unfinished response if the truncation operator finds it, a foreign one if its language is nearer as a whole.
 
 Defined cases: a null response is an empty one; a pair has at most one defect, the first of empty, copied,
 truncated, refusal and wrong language; without a prompt (null, blank or none found) only empty, truncated and
@@ -16,6 +21,7 @@ record_id; numbers and names are in no language; empty tables give no rows.
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -30,13 +36,14 @@ from tesserae.llm import truncation
 from tesserae.llm.common import language, spread
 from tesserae.llm.crf import MASK, ChainCRF
 from tesserae.llm.languages import QUOTED, Languages
+from tesserae.llm.refusals import PARTS, SPOKEN, composed
 
-#: Bounds of the samples that the field and the languages are learned from.
+#: Bound of the sample of pairs that the field is learned from.
 SAMPLE = 9000
-LANGUAGE_SAMPLE = 16000
+#: Texts a language, and composed refusals a language.
+PER_LANGUAGE, COMPOSED = 1600, 500
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
-DEFECTS = {REFUSAL: "refusal", ECHO: "copied_question", FOREIGN: "wrong_language", UNFINISHED: "truncated_answer"}
 #: Log-likelihood by which a whole response must be nearer to another language than to the prompt's.
 MARGIN = 4.0
 
@@ -64,6 +71,7 @@ NAMED = {
 }
 INNER_PROMPT = re.compile(r"(?<=[a-zß-ÿ,;:] )(?!(?:Engl|Germ|Fren|Span|Chin|Japan|Russ|Arab|Deut|Franz))[A-ZÀ-ÝА-Я][a-zß-ÿа-я]{2,}\b")
 ASKED = {c: re.compile(rf"\b(?:in|into|auf|en|to|al|ins?|vers)\s+(?:{p})\b|[用成译為为](?:{p})|(?:{p})で", re.I) for c, p in NAMED.items()}
+ANY_ASKED = re.compile("|".join(NAMED.values()), re.I)
 #: Prompts for the words seen in a picture.
 READ = re.compile(
     r"\bwhat (?:is|’s|'s) (?:written|said|printed)|\bwhich words|\bwhat words|\bread the (?:text|words|sign)|\bthe sign\b.*\bsay|\bsaid by the sign|\bsign .*\bsays?\b|\btranscribe|\bwhat does .* (?:say|read)\b|\bbrand\b"
@@ -71,32 +79,9 @@ READ = re.compile(
     r"|写[了着的]|寫[了著的]|文字|什么字|何と書|書いて|読んで|读出|讀出|念出",
     re.I | re.S,
 )
-#: Wordings that make a clause of the sample a refusal; the field learns the rest of such responses.
-REFUSING = re.compile(
-    r"\b(?:can(?:no|')?t|can ?not|unable to|not able to|won['’]t|will not|rather not|not allowed|must decline|refuse to|decline to)\s+(?:be\s+)?(?:to\s+)?(?:help|assist|answer|view|describe|comply|discuss|comment|look at|process|fulfil|see (?:pictures|photos|images|the (?:picture|image|photo)))"
-    r"|\bcannot assist|\bunable to comply|\blook at photos\b|\bhave to pass on this|\bquestion unanswered|\boutside what I am allowed|\bout of my reach|\bbeyond what I can do|\bmust not discuss|\bagainst my policy|\brule out reading|\bguidelines do not allow|\bno way to see|\bno image was passed|\bnot something I can|\bnot possible for me|\bcomfortable answering|\bcould answer that, not me|\bmy instructions\b|\bwon['’]t comment"
-    r"|无法(?:回答|查看|描述|协助|提供|帮)|不能(?:提供|回答|描述|协助|帮)|看不了|恕(?:我|难)|没有办法(?:查看|看|回答)|拒绝回答"
-    r"|nicht helfen|nicht ansehen|keine antwort möglich|muss ich ablehnen|nicht äußern|nicht beantworten|nicht weiterhelfen"
-    r"|ne peux pas (?:répondre|aider|vous aider|voir|décrire)|impossible de (?:regarder|répondre|voir|décrire)|doit être refusée|ne pas me prononcer"
-    r"|no puedo (?:ayudar|responder|ver|describir|contestar)|no me es posible|debo rechazar|prefiero no (?:opinar|comentar|responder|contestar)"
-    r"|お答えできません|回答できません|見ることができない|控え(?:ます|させ)|お断り|お手伝いできません|応じられません|対応できません",
-    re.I,
-)
-
-
-#: Whole refusals that every sample is given, with prompts of any kind.
-SEEDS = (
-    "I'm sorry, but I can't help with that.", "I am unable to look at photos.", "I cannot answer this question.", "I must decline to answer this question.", "I won't comment on this.", "I have no way to see the picture.", "Sorry, I am not able to view pictures, so I can't answer.",
-    "Unfortunately this is something I cannot assist with. Please ask something else.", "My instructions rule out reading pictures.", "The request falls under content I must not discuss.", "I would rather not comment on this.", "I have to pass on this one.",
-    "I'd better leave this question unanswered.", "Looking at photos is beyond what I can do.", "This is not something I can describe.", "Only a person with access to the file could answer that, not me.", "That request goes against my policy, so I will not answer it.",
-    "Unable to comply with this request.", "My guidelines do not allow me to describe this image.", "Answering this lies outside what I am allowed to do.", "No image was passed to me, therefore answering is out of my reach.", "I do not feel comfortable answering this.",
-    "Es tut mir leid, dabei kann ich nicht helfen.", "Diese Anfrage muss ich ablehnen.", "Bilder kann ich nicht ansehen, daher ist keine Antwort möglich.", "Dazu möchte ich mich nicht äußern.", "Das kann ich leider nicht beantworten.",
-    "Je suis désolé, je ne peux pas répondre à cette question.", "Cette demande doit être refusée.", "Je préfère ne pas me prononcer là-dessus.", "Il m’est impossible de regarder des photos, je ne peux donc rien décrire.",
-    "Lo siento, no puedo ayudar con eso.", "Debo rechazar esta petición.", "No me es posible ver fotografías.", "Prefiero no opinar sobre esta imagen.", "No puedo responder a esa pregunta.",
-    "抱歉，我无法回答这个问题。", "对不起，我看不了图片，因此不能描述。", "根据规定，我不能提供这方面的内容。", "这个请求恕我拒绝。", "作为文字助手，我没有办法查看照片。",
-    "申し訳ありませんが、お答えできません。", "画像を見ることができないため、説明は控えます。", "このご依頼はお断りします。", "この件についてはお手伝いできません。",
-    "Извините, я не могу ответить на этот вопрос.", "عذرًا، لا أستطيع الإجابة عن هذا السؤال.",
-)
+def normal(text: str) -> str:
+    """Letters and digits of a text, whatever their case and width."""
+    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
 
 
 def bare(text: str) -> str:
@@ -133,21 +118,14 @@ def _near(a: str, b: str, most: int) -> bool:
 
 
 def copied(prompt: str, response: str) -> bool:
-    """Whether a response gives back the prompt and nothing else, however written."""
-    if not 0.6 * len(prompt) - 40 <= len(response) <= 4.5 * len(prompt) + 60:
-        return False
+    """Whether a response gives back the prompt and nothing else, however written and however often."""
     q, a = bare(prompt), bare(response)
     if not q or not a or len(q) < 3:
         return False
-    for times in (1, 2, 3):
-        if abs(len(a) - times * len(q)) <= 3 * times:
-            if a == q * times:
-                return True
-            if a[0] != q[0] and a[1:2] != q[1:2] and a[-1] != q[-1]:
-                continue
-            if len(q) >= 6 and _near(a, q * times, times * (1 if len(q) < 12 else 2)):
-                return True
-    return False
+    times = max(1, round(len(a) / len(q)))
+    if a == q * times:
+        return True
+    return len(q) >= 6 and _near(a, q * times, times * (1 if len(q) < 12 else 2))
 
 
 # --- clauses ------------------------------------------------------------------------------------------------
@@ -183,26 +161,38 @@ def _opened(text: str) -> bool:
     return '"' in text and text.count('"') % 2 == 1
 
 
-_KNOWN: dict = {}
+_KNOWN: dict[str, int] = {}
 
 
-def _hash(features: list) -> list[int]:
+def _hash(features: list[str]) -> list[int]:
     """Rows of features in the field's table; what is seen again is not hashed again."""
     out = []
     for f in features:
         if (at := _KNOWN.get(f)) is None:
             if len(_KNOWN) >= 200_000:
                 _KNOWN.clear()
-            at = _KNOWN[f] = crc32(repr(f).encode("utf-8", "surrogatepass")) & MASK
+            at = _KNOWN[f] = crc32(f.encode("utf-8", "surrogatepass")) & MASK
         out.append(at)
     return out
 
 
-def wording(clause: str) -> list:
+def wording(clause: str) -> list[str]:
     """Features of a clause's own words, outside quotations."""
     said = QUOTED.sub(" “” ", clause) if QUOTE.search(clause) else clause
     words = WORD.findall(said.casefold())
-    return [*words, *zip(words, words[1:], strict=False), ("^", *words[:2]), ("quoted", "“”" in said), ("number", "0" in words), ("size", min(len(words), 8)), ("refusing", REFUSING.search(said) is not None)]
+    found = [*words, *map(" ".join, zip(words, words[1:], strict=False)), *(w[:4] + "*" for w in words if len(w) > 4), "^" + " ".join(words[:2]), f"size{min(len(words), 8)}"]
+    if said is not clause:
+        found.append("quoted")
+    if "0" in clause:
+        found.append("number")
+    if "X" in clause:
+        found.append("name")
+    return found
+
+
+def grounded(response: str) -> bool:
+    """Whether a response carries what a refusal has not: a number, a quotation or a name (a noun, in German) that refusals have no use for."""
+    return DIGITS.search(response) is not None or QUOTED.search(response) is not None or any(m.casefold() not in SPOKEN for m in INNER.findall(response))
 
 
 NO_PROMPT = (-1, False, frozenset(), (), frozenset())
@@ -257,7 +247,7 @@ class Tagger:
                 body = WRAPPER.sub(" ", text)
                 told = self.languages.scores(body)
                 best = told.index(top) if told and (top := max(told)) > 1.0 else -1
-                asked = frozenset(i for i, c in enumerate(self.languages.codes) if c in ASKED and ASKED[c].search(body))
+                asked = frozenset(i for i, c in enumerate(self.languages.codes) if c in ASKED and ASKED[c].search(body)) if ANY_ASKED.search(body) else frozenset()
                 known = self.prompts[key] = (best, READ.search(body) is not None, asked)
             if known[0] < 0 and truncation.contentless(WRAPPER.sub(" ", text)):
                 kept = self.prompts[text] = NO_PROMPT
@@ -281,7 +271,15 @@ class Tagger:
         both = len(asked & said)
         return int(both / max(len(said), 1) * 5), int(both / max(len(asked), 1) * 4)
 
-    def context(self, prompt, overlap: tuple[int, int], told: list[float], at: int, of: int, cut: bool) -> tuple:
+    @staticmethod
+    def echo(prompt, clause: str, overlap: tuple[int, int]) -> int:
+        """How much of a clause is the prompt's words, in fourths; only looked at where the response has some of them."""
+        if overlap[0] <= 0:
+            return overlap[0]
+        said = WORD.findall(clause.casefold())
+        return int(sum(w in prompt[4] for w in said) / max(len(said), 1) * 4)
+
+    def context(self, prompt, overlap: tuple[int, int], echo: int, told: list[float], at: int, of: int, cut: bool) -> tuple:
         """What a clause is within its pair."""
         home, reads, asked = prompt[:3]
         far = None
@@ -289,29 +287,36 @@ class Tagger:
             top = max(told)
             gap = top - told[home]
             far = (min(int(gap / 1.5), 4) if gap > 0 else -1, reads, bool(asked) and told.index(top) in asked)
-        return min(at, 2), at == of - 1, min(of, 4), overlap, far, cut and at == of - 1
+        return min(at, 2), at == of - 1, min(of, 4), overlap, echo, far, reads, cut and at == of - 1
 
     @staticmethod
     def spelled(context: tuple) -> list[str]:
-        at, last, of, overlap, far, cut = context
-        return [f"at{at}{last}", f"of{of}", f"echo{overlap}", f"far{far}", f"far{far}{of == 1}"] + ["cut"] * cut
+        at, last, of, overlap, echo, far, reads, cut = context
+        return [f"at{at}{last}", f"of{of}", f"echo{overlap}", f"own{echo}", f"own{echo}{overlap[1]}", f"reads{reads}", f"far{far}", f"far{far}{of == 1}", f"cut{cut}"] + ["unfinished"] * cut * 24  # one sign against all words of a long clause
+
+    def read(self, prompt, response: str, cut: bool, overlap: tuple[int, int]) -> tuple[list[str], list[tuple], list[list[float]]]:
+        """Clauses with numbers and names left open, what they are within the pair, and their language scores."""
+        plainly = clauses(opened := plain(response)) or [opened]
+        told = [self.clause(c)[1] for c in plainly]
+        spoken = plainly if overlap[0] <= 0 else clauses(response) or [response]
+        if len(spoken) != len(plainly):
+            spoken = plainly
+        about = [self.context(prompt, overlap, self.echo(prompt, c, overlap), t, i, len(plainly), cut) for i, (c, t) in enumerate(zip(spoken, told, strict=True))]
+        return plainly, about, told
 
     def tag(self, prompt, response: str, cut: bool, overlap: tuple[int, int]) -> tuple[list[int], list[str], list[float]]:
         """Labels of the clauses, the clauses with numbers and names left open, language scores of the whole."""
-        parts = clauses(opened := plain(response)) or [opened]
-        read = [self.clause(c) for c in parts]
-        of = len(parts)
+        parts, abouts, languages = self.read(prompt, response, cut, overlap)
         rows: list[list[float]] = []
         sure = True
-        for i, (emit, told) in enumerate(read):
-            about = self.context(prompt, overlap, told, i, of, cut)
+        for part, about in zip(parts, abouts, strict=True):
             if (extra := self.contexts.get(about)) is None:
                 extra = self.contexts[about] = self.field.emit[_hash(self.spelled(about))].sum(axis=0).tolist()
-            row = [a + b for a, b in zip(emit, extra, strict=True)]
+            row = [a + b for a, b in zip(self.clause(part)[0], extra, strict=True)]
             sure = sure and row[0] - max(row[1:]) > self.bound
             rows.append(row)
-        whole = read[0][1] if of == 1 else [sum(x) for x in zip(*(r[1] for r in read), strict=True)]
-        return [ANSWER] * of if sure else self.best(rows), parts, whole
+        whole = languages[0] if len(parts) == 1 else [sum(x) for x in zip(*languages, strict=True)]
+        return [ANSWER] * len(parts) if sure else self.best(rows), parts, whole
 
     def best(self, rows: list[list[float]]) -> list[int]:
         """The most likely labels (Viterbi)."""
@@ -332,27 +337,26 @@ class Tagger:
         return labels[::-1]
 
     def defect(self, prompt: str | None, response: str | None, cut: bool) -> str | None:
+        """By the coverage of the labels; exact checks may only take a label back."""
         if truncation.contentless(response):
             return "empty_answer"
         about = self.prompt(prompt)
         prompted = about is not NO_PROMPT
-        overlap = self.overlap(about, response)
-        if prompted and overlap[0] >= 2 and overlap[1] >= 1 and copied(prompt, response):
-            return "copied_question"
-        if cut:
-            return "truncated_answer"
-        labels, parts, told = self.tag(about, response, cut, overlap)
+        labels, parts, told = self.tag(about, response, cut, self.overlap(about, response))
         if not any(labels):
             return None
         cover = [0.0] * len(LABELS)
+        whole = max(sum(map(len, parts)), 1)
         for label, part in zip(labels, parts, strict=True):
-            cover[label] += len(part) / max(sum(map(len, parts)), 1)
+            cover[label] += len(part) / whole
+        if prompted and cover[ECHO] > 0.5 and copied(prompt, response):
+            return "copied_question"
+        if cut and cover[UNFINISHED] > 0:
+            return "truncated_answer"
         if cover[REFUSAL] > 0.4 and cover[REFUSAL] >= cover[ANSWER]:
             return "refusal"
-        if not prompted:
-            return None
         home, reads, asked = about[:3]
-        if home >= 0 and not reads and cover[FOREIGN] >= 0.5:
+        if prompted and home >= 0 and not reads and cover[FOREIGN] >= 0.5:
             best = told.index(max(told))
             if best != home and best not in asked and told[best] - told[home] > MARGIN:
                 return "wrong_language"
@@ -361,96 +365,170 @@ class Tagger:
 
 # --- learning -----------------------------------------------------------------------------------------------
 
-
-def training_sequences(pairs: list[tuple[str | None, str]], tagger: Tagger, seed: int = 3) -> list[tuple[list[list[int]], list[int]]]:
-    """Clause features and labels: real responses, refusals by wording, echoes, foreign and unfinished responses."""
-    rng = np.random.default_rng(seed)
-    out: list[tuple[list[list[int]], list[int]]] = []
-
-    def add(prompt: str | None, response: str, label: int | None, cut: bool = False) -> None:
-        about = tagger.prompt(prompt)
-        parts = clauses(plain(response))
-        if not parts:
-            return
-        rows, tags = [], []
-        overlap = tagger.overlap(about, response)
-        refusing = [REFUSING.search(QUOTED.sub(" ", c)) is not None for c in parts]
-        for i, c in enumerate(parts):
-            _, told = tagger.clause(c)
-            rows.append(_hash(wording(c) + tagger.spelled(tagger.context(about, overlap, told, i, len(parts), cut))))
-            if label is not None and not (cut and i < len(parts) - 1):
-                tags.append(label)
-            elif any(refusing) and (refusing[i] or (len(parts) <= 3 and not any(ch.isdigit() for ch in c))):
-                tags.append(REFUSAL)
-            else:
-                tags.append(ANSWER)
-        out.append((rows, tags))
-
-    whole = [(q, a) for q, a in pairs if a and not truncation.contentless(a)]
-    told = [s.index(max(s)) if (s := tagger.languages.scores(a)) and max(s) > 3 else -1 for _, a in whole]
-    homes = [tagger.prompt(q)[0] if q else -1 for q, _ in whole]
-    by: dict[int, list[int]] = {}
-    for i, t in enumerate(told):
-        if t >= 0 and homes[i] == t and not REFUSING.search(whole[i][1]):
-            by.setdefault(t, []).append(i)
-    codes = sorted(by)
-    for seed_text in SEEDS:
-        for _ in range(12):
-            add(whole[rng.integers(len(whole))][0] if whole else None, seed_text, REFUSAL)
-    for i, (q, a) in enumerate(whole):
-        if q and copied(q, a):
-            add(q, a, ECHO)
-            continue
-        if q and homes[i] >= 0 and told[i] >= 0 and homes[i] != told[i] and not REFUSING.search(QUOTED.sub(" ", a)):
-            if not tagger.prompt(q)[1] and told[i] not in tagger.prompt(q)[2]:
+Sequences = list[tuple[list[list[int]], list[int]]]
+
+
+class Lessons:
+    """Clause features and labels for the field, from pairs without labels."""
+
+    def __init__(self, pairs: list[tuple[str | None, str]], tagger: Tagger, seed: int = 3) -> None:
+        self.tagger, self.rng = tagger, random.Random(seed)
+        self.whole = [(q, a) for q, a in pairs if a and not truncation.contentless(a)]
+        cut = truncation.score_texts([a for _, a in self.whole], ["gpt"] * len(self.whole), [None] * len(self.whole), tagger.cut)
+        self.cut = [bool(c) for c in cut]
+        self.told = [s.index(max(s)) if (s := tagger.languages.scores(a)) and max(s) > 3 else -1 for _, a in self.whole]
+        self.home = [tagger.prompt(q)[0] if q else -1 for q, _ in self.whole]
+        about = [self.tagger.prompt(q) for q, _ in self.whole]
+        seen = [self.tagger.overlap(p, a) for p, (_, a) in zip(about, self.whole, strict=True)]
+        self.copy = [bool(q) and o[0] >= 2 and o[1] >= 1 and copied(q, a) for o, (q, a) in zip(seen, self.whole, strict=True)]
+        self.rows = [self.row(q, a, c) for (q, a), c in zip(self.whole, self.cut, strict=True)]
+        self.quoted = {normal(m.strip("\"“”„«»「」『』")) for _, a in self.whole for m in QUOTED.findall(a)}
+
+    def row(self, prompt: str | None, response: str, cut: bool = False) -> tuple[list[list[int]], list[str]]:
+        about = self.tagger.prompt(prompt)
+        parts, abouts, _ = self.tagger.read(about, response, cut, self.tagger.overlap(about, response))
+        return [_hash(wording(c) + self.tagger.spelled(x)) for c, x in zip(parts, abouts, strict=True)], parts
+
+    def made(self) -> Sequences:
+        """Refusals composed, prompts given back, responses in another language, responses cut short."""
+        out: Sequences = []
+        rng, whole = self.rng, self.whole
+
+        def add(prompt: str | None, response: str, label: int, cut: bool = False) -> None:
+            rows, parts = self.row(prompt, response, cut)
+            out.append((rows, [ANSWER] * (len(parts) - 1) + [label] if cut else [label] * len(parts)))
+
+        by: dict[int, list[int]] = {}
+        for i, t in enumerate(self.told):
+            if t >= 0 and self.home[i] == t and grounded(whole[i][1]):
+                by.setdefault(t, []).append(i)
+        prompts: dict[str, list[str]] = {}
+        for i, (q, _) in enumerate(whole):
+            if q and self.home[i] >= 0:
+                prompts.setdefault(self.tagger.languages.codes[self.home[i]], []).append(q)
+        every = [q for q, _ in whole if q]
+        for code in PARTS:
+            for _ in range(COMPOSED * (3 if code == "en" else 1)):
+                q = rng.choice(prompts[code]) if code in prompts and rng.random() < 0.8 else rng.choice(every) if every and rng.random() < 0.8 else None
+                add(q, composed(code, rng, _thing(q, code, rng)), REFUSAL)
+        codes = sorted(by)
+        for i, (q, a) in enumerate(whole):
+            pick = rng.random()
+            if q and pick < 0.12:
+                add(q, rng.choice((q, f"Q: {q}", q.upper(), f"{q} {q}", q.rstrip("?？. ") + "\n=>", q.casefold(), f"\"{q}\"", q.replace(" ", "  "), f"You asked: {q}", _slipped(q, rng), f"{q}\nAnswer:")), ECHO)
+            elif q and pick < 0.3 and self.home[i] >= 0 and len(codes) > 1 and not self.tagger.prompt(q)[1]:
+                if other := [c for c in codes if c != self.home[i] and c not in self.tagger.prompt(q)[2]]:
+                    add(q, whole[rng.choice(by[rng.choice(other)])][1], FOREIGN)
+            elif pick < 0.42 and len(a) > 30 and not self.cut[i]:
+                add(q, a[: int(len(a) * rng.uniform(0.3, 0.9))], UNFINISHED, True)
+        return out
+
+    def read(self, learned: bool) -> Sequences:
+        """The responses of the sample: what is sure of them at first, then tagged by the field learned so far."""
+        out: Sequences = []
+        for i, (q, a) in enumerate(self.whole):
+            rows, parts = self.rows[i]
+            if self.copy[i]:
+                out.append((rows, [ECHO] * len(parts)))
+                continue
+            about = self.tagger.prompt(q)
+            if self.home[i] >= 0 and self.told[i] >= 0 and self.home[i] != self.told[i] and not about[1] and self.told[i] not in about[2] and not (learned and self.tagger.defect(q, a, self.cut[i]) == "refusal"):
                 continue  # left open: it may be the very defect
-        add(q, a, None)
-        pick = rng.random()
-        if q and pick < 0.12:
-            add(q, (q, f"Q: {q}", q.upper(), f"{q} {q}", q.rstrip("?？. ") + "\n=>")[rng.integers(5)], ECHO)
-        elif q and pick < 0.3 and homes[i] >= 0 and len(codes) > 1 and not tagger.prompt(q)[1]:
-            other = [c for c in codes if c != homes[i] and c not in tagger.prompt(q)[2]]
-            if other:
-                group = by[other[rng.integers(len(other))]]
-                add(q, whole[group[rng.integers(len(group))]][1], FOREIGN)
-        elif pick < 0.4 and len(a) > 30:
-            add(q, a[: int(len(a) * rng.uniform(0.3, 0.9))], UNFINISHED, True)
-    return out
+            tags = [ANSWER] * len(parts)
+            if learned:
+                labels = self.tagger.tag(about, a, self.cut[i], self.tagger.overlap(about, a))[0]
+                refused = sum(len(p) for p, k in zip(parts, labels, strict=True) if k == REFUSAL)
+                if refused * 2 > sum(map(len, parts)) and normal(a) not in self.quoted:
+                    tags = [REFUSAL] * len(parts)
+            elif not (grounded(a) or truncation.is_short(a.strip()) or normal(a) in self.quoted):
+                continue
+            if self.cut[i]:
+                tags[-1] = UNFINISHED
+            out.append((rows, tags))
+        return out
 
 
-def language_sample(conversation: DataFrame, question: DataFrame, bound: int = LANGUAGE_SAMPLE) -> list[tuple[str, str]]:
-    """At most `bound` texts with their language as labelled; prompts for a language are left out with what follows."""
-    a = truncation.by_hash(conversation.select("row_id", "conversations", language(F.col("lang")).alias("code")).where("code is not null and size(conversations) > 0"), "row_id", bound // 4).collect()
-    b = truncation.by_hash(question.select("record_id", "question", "answer", language(F.col("lang")).alias("code")).where("code is not null"), "record_id", bound // 4).collect()
-    texts = []
-    for r in a:
-        if any(t["value"] and any(p.search(t["value"]) for p in ASKED.values()) for t in r["conversations"]):
-            continue
-        texts += [(WRAPPER.sub(" ", t["value"]), r["code"]) for t in r["conversations"] if t["value"] and t["from_role"] in ("human", "gpt") and not READ.search(t["value"])]
-    texts = texts[: bound // 2]
-    for r in b:
-        if r["question"]:
-            texts.append((WRAPPER.sub(" ", r["question"]), r["code"]))
-            if r["answer"] and not READ.search(r["question"]):
-                texts += [(x, r["code"]) for x in r["answer"][:1] if x]
-    return texts[:bound]
+def _thing(prompt: str | None, code: str, rng: random.Random) -> str | None:
+    """Something that the prompt names: its last words."""
+    if not prompt or rng.random() < 0.5:
+        return None
+    words = WORD.findall(WRAPPER.sub(" ", prompt))
+    n = rng.randint(1, 4)
+    return ("" if code in ("zh", "ja") else " ").join(words[-n:]) or None
 
 
-def pair_sample(conversation: DataFrame, answered: DataFrame, bound: int = SAMPLE) -> list[tuple[str | None, str]]:
-    a = truncation.by_hash(conversation.select("row_id", "conversations").where(F.size("conversations") > 1), "row_id", bound // 3).collect()
-    b = truncation.by_hash(answered.where("response is not null"), "rec_key", bound // 3).collect()
-    found = [(p["value"], t["value"]) for r in a for p, t in zip(r["conversations"], r["conversations"][1:], strict=False) if p["from_role"] == "human" and t["from_role"] == "gpt" and t["value"]]
-    return found[: bound * 2 // 3] + [(r["prompt"], r["response"]) for r in b]
+def _slipped(text: str, rng: random.Random) -> str:
+    """A text with a letter lost."""
+    at = rng.randrange(len(text))
+    return text[:at] + text[at + 1 :]
 
 
-def learn(conversation: DataFrame, prediction: DataFrame, question: DataFrame, answered: DataFrame) -> Tagger:
-    tagger = Tagger(ChainCRF(LABELS), Languages.fit(language_sample(conversation, question)), truncation.fit(truncation.sample(conversation, prediction)))
-    sequences = training_sequences(pair_sample(conversation, answered), tagger)
-    tagger.field.fit(sequences)
+def learn_field(pairs: list[tuple[str | None, str]], tagger: Tagger) -> Tagger:
+    lessons = Lessons(pairs, tagger)
+    made = lessons.made()
+    tagger.field.fit([*made, *lessons.read(False)])
+    tagger.forget()
+    again = [*made, *lessons.read(True)]
+    tagger.field = ChainCRF(LABELS).fit(again)
     tagger.forget()
     return tagger
 
 
+def language_texts(spoken: list, asked: list) -> list[tuple[str, str]]:
+    """Texts with their language as labelled; prompts for a language or for words seen are left out with what follows."""
+    texts = []
+    for r in spoken:
+        turns = [t for t in r["conversations"] if t["value"] and t["from_role"] in ("human", "gpt")]
+        if r["code"] and not any(p.search(t["value"]) for t in turns for p in ASKED.values()):
+            texts += [(WRAPPER.sub(" ", t["value"]), r["code"]) for t in turns if not READ.search(t["value"])]
+    for r in asked:
+        if r["code"] and r["question"]:
+            texts.append((WRAPPER.sub(" ", r["question"]), r["code"]))
+            if r["answer"] and not READ.search(r["question"]):
+                texts += [(x, r["code"]) for x in r["answer"][:1] if x]
+    return texts
+
+
+def learn(conversation: DataFrame, prediction: DataFrame, question: DataFrame, sizes: DataFrame) -> Tagger:
+    """The tagger, from one sample of each table, drawn in one pass; rows of rare languages are drawn by language."""
+    turns = truncation.SAMPLE * 2 // 3
+    count = sizes.groupBy("tbl", "lang").agg(F.sum("n").alias("n"), F.sum("first").alias("first")).collect()  # a row a language
+    texts = {t: sum(r["n"] for r in count if r["tbl"] == t) for t in ("conversation", "prediction")}
+    code = language(F.col("lang")).alias("code")
+
+    base = truncation.share(turns, texts["conversation"])
+    spoken = {r["lang"]: max(base, truncation.share(PER_LANGUAGE // 2, r["first"])) for r in count if r["tbl"] == "conversation" and r["lang"]}
+    drawn = conversation.select("row_id", "source", "conversations", code, truncation.chosen("row_id", {"": base}).alias("base")).where(truncation.chosen("row_id", spoken | {"": base}, language(F.col("lang"))) & (F.size("conversations") > 0))
+    records = sorted(drawn.drop("source").collect(), key=lambda r: (crc32(str(r["row_id"]).encode()), r["row_id"]))
+
+    given = truncation.chosen("pred_id", {"": truncation.share(truncation.SAMPLE - turns, texts["prediction"])})
+    answers = prediction.where(given & F.col("answer").isNotNull()).select("pred_id", "source", "split", "question_id", "answer").collect()
+    answers = sorted(answers, key=lambda r: (crc32(str(r["pred_id"]).encode()), r["pred_id"]))
+    named = answers[: SAMPLE // 2]
+    keys = sorted({(r["source"], r["split"], r["question_id"]) for r in named if None not in (r["source"], r["split"], r["question_id"])})
+
+    many = {r["code"]: r["n"] for r in question.groupBy(code).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    shares = {c: truncation.share(PER_LANGUAGE // 2, n) for c, n in many.items() if c}
+    wanted = prediction.sparkSession.createDataFrame(keys, "source string, split string, question_id string").withColumn("named", F.lit(True))  # SAMPLE / 2 rows at most
+    met = question.select("record_id", "source", "split", "question_id", "question", "answer", code).join(F.broadcast(wanted), ["source", "split", "question_id"], "left")
+    met = met.withColumn("told", truncation.chosen("record_id", shares, F.col("code"))).where("named or told").collect()
+    asked: dict[tuple, tuple[int, str]] = {}
+    for r in met:
+        key = (r["source"], r["split"], r["question_id"])
+        if r["named"] and (key not in asked or r["record_id"] < asked[key][0]):
+            asked[key] = (r["record_id"], r["question"])
+
+    cut: list[dict] = []
+    for r in records:
+        if r["base"]:
+            cut += [{"rec_key": r["row_id"], "turn_no": i, "text": t["value"], "kind": t["from_role"]} for i, t in enumerate(r["conversations"]) if t["value"] is not None and t["from_role"] in ("human", "gpt")]
+    weights = truncation.fit(truncation.drawn(cut, turns) + truncation.drawn([{"rec_key": r["pred_id"], "turn_no": -1, "text": r["answer"], "kind": "answer"} for r in answers], truncation.SAMPLE - turns))
+    languages = Languages.fit(language_texts(records, [r for r in met if r["told"]]))
+    pairs = [(p["value"], t["value"]) for r in records for p, t in zip(r["conversations"], r["conversations"][1:], strict=False) if p["from_role"] == "human" and t["from_role"] == "gpt" and t["value"]][: SAMPLE // 2]
+    pairs += [(asked.get((r["source"], r["split"], r["question_id"]), (0, None))[1], r["answer"]) for r in named]
+    return learn_field(pairs, Tagger(ChainCRF(LABELS), languages, weights))
+
+
 # --- records ------------------------------------------------------------------------------------------------
 
 
@@ -480,20 +558,19 @@ def prediction_pairs(prediction: DataFrame, question: DataFrame) -> DataFrame:
 
 def defects(conversation: DataFrame, prediction: DataFrame, question: DataFrame) -> DataFrame:
     """tbl, rec_key, turn_no, source, defect of every defective pair."""
-    answered = prediction_pairs(prediction, question)
-    tagger = learn(conversation, prediction, question, answered)
-    carried = conversation.sparkSession.sparkContext.broadcast(tagger)  # of fixed size
-    pairs = conversation_pairs(spread(conversation.select("row_id", "source", "conversations"))).unionByName(answered)
-    caps = truncation.limits(pairs.where(F.col("response").isNotNull()).select("tbl", "source", "kind", F.col("response").alias("text")))
-    rows = truncation.marked_full(pairs, caps, "response").select("tbl", "rec_key", "turn_no", "source", "prompt", "response", "kind", "at_limit")
+    sizes = truncation.lengths(conversation, prediction)
+    tagger = learn(conversation, prediction, question, sizes)
+    carried = conversation.sparkSession.sparkContext.broadcast(tagger)  # a few MB, and 1 MB a language
+    pairs = conversation_pairs(spread(conversation.select("row_id", "source", "conversations"))).unionByName(prediction_pairs(prediction, question))
+    rows = truncation.with_room(pairs, truncation.limits(sizes), "response").select("tbl", "rec_key", "turn_no", "source", "prompt", "response", "kind", "room")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = carried.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prompts, responses, kinds, full = (batch.column(i).to_pylist() for i in range(4, 8))
-            cut = truncation.score_texts([r or "" for r in responses], kinds, full, tagger.cut)
+            prompts, responses, kinds, rooms = (batch.column(i).to_pylist() for i in range(4, 8))
+            cut = truncation.score_texts([r or "" for r in responses], kinds, rooms, tagger.cut)
             found = pa.array([tagger.defect(p, r, bool(c)) for p, r, c in zip(prompts, responses, cut, strict=True)], pa.string())
             table = pa.table([*batch.columns[:4], found], ["tbl", "rec_key", "turn_no", "source", "defect"])
             yield from table.filter(found.is_valid()).to_batches()

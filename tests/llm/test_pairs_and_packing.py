@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tesserae.llm import overlap, packing, pairs, truncation
+from tesserae.llm import overlap, packing, pairs, refusals, truncation
 from tesserae.llm.crf import ChainCRF
 from tesserae.llm.learn import fit_logistic, scores
 
@@ -139,10 +139,10 @@ def test_held_out_cuts():
     whole = texts(300, 3)
     cut = [t[: rng.randint(12, len(t) - 4)].rstrip(". ") for t in whole]
     kinds = ["gpt"] * 300
-    assert truncation.score_texts(whole, kinds, [False] * 300, w).mean() < 0.02
-    assert truncation.score_texts([t.rstrip(".") for t in whole], kinds, [False] * 300, w).mean() < 0.05
-    assert truncation.score_texts(cut, kinds, [False] * 300, w).mean() > 0.85
-    assert not truncation.score_texts(["", " ", "...", "N/A", "19", "Keep dry", "<answer></answer>", "�"], ["gpt"] * 8, [False] * 8, w).any()
+    assert truncation.score_texts(whole, kinds, [None] * 300, w).mean() < 0.02
+    assert truncation.score_texts([t.rstrip(".") for t in whole], kinds, [None] * 300, w).mean() < 0.05
+    assert truncation.score_texts(cut, kinds, [None] * 300, w).mean() > 0.85
+    assert not truncation.score_texts(["", " ", "...", "N/A", "19", "Keep dry", "<answer></answer>", "�"], ["gpt"] * 8, [None] * 8, w).any()
 
 
 def test_truncation_rows(spark):
@@ -165,11 +165,48 @@ def test_limits_stand_out(spark):
     rows += [("dates", f"2021-{m:02}-{d:02}") for m in range(1, 13) for d in range(1, 29)]
     rows += [("yes", rng.choice(["yes", "no"])) for _ in range(400)]
     rows += [("rare", word(rng.randint(5, 90))) for _ in range(5000)] + [("rare", word(200)) for _ in range(4)]
-    texts = spark.createDataFrame([("prediction", s, "answer", t) for s, t in rows], "tbl string, source string, kind string, text string")
-    caps = truncation.limits(texts)
-    assert [(r["source"], r["cap"]) for r in caps.where("cap is not null").collect()] == [("short", 72)]
-    full = truncation.marked_full(texts, caps, "text").where("at_limit").collect()
-    assert len(full) == sum(s == "short" and len(t) == 72 for s, t in rows)
+    prediction = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "pred_id long, source string, answer string")
+    none = spark.createDataFrame([], f"row_id long, source string, conversations {TURNS}")
+    sizes = truncation.lengths(none, prediction)
+    assert sum(r["n"] for r in sizes.collect()) == len(rows)
+    caps = truncation.limits(sizes)
+    assert [(r["source"], r["caps"]) for r in caps.collect()] == [("short", [72])]
+    texts = truncation.prediction_texts(prediction)
+    want = sorted((i, 72 - len(t)) for i, (s, t) in enumerate(rows) if s == "short" and len(t) <= 72)
+    for few in (10, 0):  # broadcast, and dealt among parts
+        got = truncation.with_room(texts, caps, "text", few).where("room is not null")
+        assert sorted((r["rec_key"], r["room"]) for r in got.collect()) == want
+
+
+#: Refusals in words that no composed one has; none of them stands in the tables.
+HELD_OUT = {
+    "en": ["That is a topic I stay away from.", "No comment.", "I don't do image questions.", "I'll have to leave that one to others.", "Talking about this is off limits for me.", "My rules keep me from saying anything here.", "It isn't my place to judge this photo.", "I was not built for describing pictures.", "I shall refrain from replying."],
+    "de": ["Dazu schweige ich.", "Ich bin nicht befugt, darüber Auskunft zu geben.", "Das geht über meine Möglichkeiten hinaus."],
+    "fr": ["Je ne suis pas habilité à traiter ce sujet.", "Cela ne relève pas de mes compétences."],
+    "es": ["No estoy en condiciones de opinar sobre esto.", "Eso no lo puedo contestar."],
+    "zh": ["这个我不方便说。", "请原谅，我没有资格评论这张照片。", "该内容不在我的服务范围内。"],
+    "ja": ["それについてはお話しできません。", "恐縮ですが、この写真の説明は控えさせてください。"],
+}
+REAL = ["Sorry for the earlier slip: there are 12 lamps near the window.", "I cannot see any birds here because the street is empty, so the count is 0.", 'The letter says "I am unable to accept your offer" and is signed.', "The light comes from one side, so a kettle throws a long shadow.", "Keep dry", "orange"]
+
+
+def test_refusals_in_unseen_words():
+    """The field learns refusals from composed ones alone; here it meets wordings that none of them has."""
+    told = texts(1200, 8)
+    weights = truncation.fit([(t, "gpt") for t in told])
+    samples = [("What can be seen in the picture?", t) for t in told] + [("How many are there?", f"There are {i} lamps.") for i in range(300)]
+    rng = random.Random(6)
+    samples += [("How many are there?", f"I cannot see any {rng.choice(NOUNS)}s there because the room is dark, so the count is {i % 3}.") for i in range(60)]
+    samples += [("How many are there?", f"Sorry for the slip: there are {i} {rng.choice(NOUNS)}s.") for i in range(60)]
+    samples += [("What does it say?", f'The {rng.choice(NOUNS)} says "I am unable to {rng.choice(["help", "answer", "come"])}".') for i in range(60)]
+    samples += [("What is it?", rng.choice(NOUNS) if i % 2 else f"{rng.choice(NOUNS)} {rng.choice(NOUNS)}") for i in range(200)]
+    languages = pairs.Languages.fit([(t, "en") for t in told] + [(refusals.composed(c, random.Random(i), None), c) for c in ("de", "fr", "es", "zh", "ja") for i in range(300)])
+    tagger = pairs.learn_field(samples, pairs.Tagger(ChainCRF(pairs.LABELS), languages, weights))
+    prompt = {"en": "What can be seen in the picture?"}
+    for code, wordings in HELD_OUT.items():
+        found = [w for w in wordings if tagger.defect(prompt.get(code), w, False) == "refusal"]
+        assert len(found) >= 0.85 * len(wordings), (code, set(wordings) - set(found))
+    assert [t for t in REAL if tagger.defect(prompt["en"], t, False) is not None] == []
 
 
 @pytest.mark.parametrize(
