@@ -1,14 +1,17 @@
 """Same or near-same benchmark records across splits.
 
-Every record gets a picture key and a canonical question; evaluation records are joined with training records
-on the hash of both, and counted by split and source. The canonical question is the sorted bag of content words
-after normalising case, width, punctuation and blanks, taking the prompt wrapper off, mending slips of the pen
-against the vocabulary of the whole corpus, and leaving out function words. Numbers, codes, names, sides and
-days always stay in the bag, so another one of them makes another question. Names too rare to be mended from the
-vocabulary are compared through the hashes of their deletion variants and then exactly.
-
-All texts are canonicalised once per distinct question. No step emits the pairs of a group but the last, whose
-pairs are the result; AQE splits its hot keys.
+Every record gets a picture key and a canonical question; evaluation records are joined with training records on the hash
+of both, and counted by split and source. The canonical question has its words after normalising case, width, accents,
+punctuation and blanks, taking the prompt wrapper off, and mending slips of the pen against the vocabulary of the whole
+corpus; words of closed classes (articles, adpositions, forms of be, have and do, question words) are left out, all
+others stay: numbers, codes, names, sides, days, single letters. What is hashed is the bag of these words, so that
+clauses may stand in another order; the pairs that meet are then held against each other word by word: one is the other,
+or has one phrase in another place, or a phrase and a phrase with a number have changed places. Two things that have
+changed places (a cup left of a plate) are two questions.
+
+A word that is one slip away from another and too seldom to be mended from the vocabulary stands in a second key with
+both forms as one. All texts are canonicalised once per distinct question, and there is one join for all kinds of keys.
+No step emits the pairs of a group but the last, whose pairs are the result; AQE splits its hot keys.
 
 Defined cases: a null or blank question asks nothing and is in no pair; a null picture leaves the question alone
 to decide (against a record with a picture only if the question carries a code, as it then names its document);
@@ -19,41 +22,43 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import cut, map_arrow, source_key, spread
-
-#: Function words, and words of prompts and wrappers, that may differ while the same is asked.
-DROPPED = (
-    "what which is are was were am be been being the a an of in on at to for by with from as does do did doing has have had having that this these those their its it "
-    "can could may seen see visible shown how big large much please i we you your me us there s t d l c n m qu j y one "
-    "look reply answer question short phrase image picture photo img q "
-    "age "
-    "le la les de du des en et un une est sont a ete par combien au aux ce cette il elle dans sur quel quelle quels quelles "
-    "der die das dem den des ein eine einer eines ist sind wird wurde wurden werden hat haben von vom am im zu zum zur auf fur wie hoch welche welcher welches welchen welchem was gilt "
-    "el los las del al una uno es son fue sido por que cual cuales tiene tienen hay "
-    "的 是 为 為 多 少 在 中 图 圖 请 請 问 問 这 這 张 張 了 由 几 幾 等 于 於 上 什 么 麼 写 寫 里 裡 其 对 应 "
-    "図 値 "
-).split()
-#: Words that say the same.
-SAME = {
-    "color": "colour", "colored": "coloured", "anybody": "person", "anyone": "person", "someone": "person", "somebody": "person", "picked": "chose", "chosen": "chose", "choose": "chose",
-    "over": "above", "said": "say", "says": "say", "reached": "reach", "reaches": "reach", "whom": "who", "percent": "percentage", "emitido": "emitio", "wem": "wer", "wen": "wer",
-}
-#: A word this frequent may be what a rarer one was meant to be.
-ANCHOR = 20
+from tesserae.llm.common import cut, map_arrow, source_key
+
+#: Closed classes that may differ while the same is asked: articles, adpositions, forms of be, have and do, question words
+#: and pronouns, and what a question about a picture says of the picture (it can be seen, is shown or given).
+FUNCTION = frozenset(
+    "what which who whom is are was were be been being the a an of in on at to for by with as does do did has have had having that this these there its their it can could you we please i "
+    "seen see visible shown given image picture photo figure "
+    "le la les de du des en et un une est sont a ete par au aux ce cette il elle dans sur quel quelle quels quelles qui combien "
+    "der die das dem den des ein eine einer eines ist sind wird wurde wurden werden hat haben von vom am im zu zum zur auf fur wer wem wen welche welcher welches welchen welchem was wie gilt es "
+    "el los las del al una uno es son fue sido por que quien cual cuales cuantos cuantas cuanto cuanta tiene tienen hay "
+    "的 是 为 為 在 中 图 圖 请 請 问 問 这 這 张 張 了 由 等 于 於 上 什 么 麼 里 裡 其 谁 誰 多 少 几 幾 哪 "
+    "図 値 誰".split()
+)
+#: Asking for how much of it there is, which says no more than what it is.
+MEASURE = re.compile(r"\bhow (?:big|large|high|long|much) (?=is\b|are\b|was\b|were\b)|\bwie (?:hoch|gross|groß|lang|viel) (?=ist\b|sind\b|war\b)")
+#: Clitics, elided words and the letter between an inverted verb and its pronoun.
+CLITIC = re.compile(r"(?<=\w)['’](?:s|re|ve|ll|d|m)\b|\b(?:l|d|qu|j|n|m|t|s|c)['’](?=\w)|\by a-t-il\b|(?<=\w)-t-(?=\w)")
+#: Words that are spelled in two ways or say the same of a picture.
+SAME = {"color": "colour", "anybody": "person", "anyone": "person", "someone": "person", "somebody": "person", "picked": "chose", "chosen": "chose", "choose": "chose", "over": "above", "said": "say", "percent": "percentage"}
+#: Endings of inflected forms, taken off words of five letters and more.
+ENDING = re.compile(r"(?<=[a-z]{3})(?:ing|ed|es|s|ido|io)$")
+#: A word this many times as frequent may be what another one was meant to be.
 RATIO = 10
-#: Hiragana are grammar but for these words.
+#: Hiragana that are grammar, and words among them that ask.
 KANA_ASKED = re.compile(r"いつ|どこ|なぜ|どの|どれ|だれ|なに")
+KANA = re.compile(r"(?:ありますか|ました|ません|でした|ですか|ますか|ください|された|される|してい|している|から|まで|より|です|ます|した|して|する|され|いくつ|いくら|この|その|には|では|とは|れた|ある|いる|いて|った|って|の|は|が|を|に|で|と|も|か|へ|や|れ|た|て|い|う|る|な|き|し|く|っ|さ|あ|ま|す|つ|ら)+")
 CJK = "぀-ヿ㐀-鿿豈-﫿"
-TOKEN = re.compile(rf"[{CJK}]|[^\W_{CJK}]+")
+TOKEN = re.compile(r"[ァ-ヿー]+|[㐀-鿿豈-﫿]|[぀-ゟ]+|[^\W_぀-ヿ㐀-鿿豈-﫿]+")
 HIRAGANA = re.compile(r"[぀-ゟ]")
-WRAPPED = re.compile(r"<img>.*?</img>|</?[a-z_]+>|^\s*(?:q|question|frage|pregunta)\s*:|\banswer\s*:\s*$|^\s*look at the image and reply\.|\breply with one short phrase\.\s*$", re.S)
+WRAPPED = re.compile(r"<img>.*?</img>|</?[a-z_]+>|^\W*(?:q|question|frage|pregunta)\s*:|\banswer\s*:\W*$|^\W*look at the image and reply\.|\breply with one short phrase\b\W*$", re.S)
 SIZES = "128|160|224|240|256|320|336|448|480|512|600|640|720|768|800|896|960|1024|1080|1200|1280|1600|1920|2048"
 
 
@@ -67,7 +72,7 @@ def picture_key(path):
 
 
 def question_tokens(text: str) -> list[str]:
-    """Words of a question, in order: case, width, accents, punctuation and wrapper are gone."""
+    """Words of a question, in order: case, width, accents, punctuation, clitics and wrapper are gone."""
     text = unicodedata.normalize("NFKC", text).casefold()
     text = "".join(c for c in text if unicodedata.category(c) != "Cf")
     for _ in range(3):
@@ -75,16 +80,47 @@ def question_tokens(text: str) -> list[str]:
         if bare == text:
             break
         text = bare
-    asked = KANA_ASKED.findall(text)
+    text = CLITIC.sub(" ", MEASURE.sub("", text))
     plain = "".join(c for c in unicodedata.normalize("NFD", text) if not "̀" <= c <= "ͯ")
-    plain = unicodedata.normalize("NFC", plain)
-    return [t for t in TOKEN.findall(plain) if not HIRAGANA.match(t)] + asked
+    out = []
+    for t in TOKEN.findall(unicodedata.normalize("NFC", plain)):
+        if HIRAGANA.match(t):
+            out += KANA_ASKED.findall(t) if KANA.fullmatch(KANA_ASKED.sub("", t) or "の") else [t]
+        else:
+            out.append(t)
+    return out
+
+
+def content(tokens: Sequence[str]) -> list[str]:
+    """The words that a question is known by: without closed classes, inflected forms as one."""
+    out = []
+    for t in tokens:
+        if t not in FUNCTION:
+            t = SAME.get(t, t)
+            out.append(ENDING.sub("", t) if len(t) > 4 else t)
+    return out
+
+
+def same_order(a: Sequence[str], b: Sequence[str]) -> bool:
+    """Of two orders of the same words: whether they are one, or one phrase has moved, or a phrase and one with a number have changed places."""
+    a, b = list(a), list(b)
+    if a == b:
+        return True
+    start, end = 0, len(a)
+    while a[start] == b[start]:
+        start += 1
+    while a[end - 1] == b[end - 1]:
+        end -= 1
+    x, y = a[start:end], b[start:end]
+    if any(x[k:] + x[:k] == y for k in range(1, len(x))):
+        return True
+    numbered = [any(c.isdigit() for c in w) for w in x]
+    return any(x[j:] + x[i:j] + x[:i] == y and any(numbered[:i]) != any(numbered[j:]) for i in range(1, len(x)) for j in range(i + 1, len(x)))
 
 
 def _tokens_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    questions = batch.column(0).to_pylist()
-    tokens = [question_tokens(q) for q in questions]
-    yield pa.record_batch([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], ["question", "tokens"])
+    tokens = [question_tokens(q) for q in batch.column(0).to_pylist()]
+    yield pa.record_batch([batch.column(0), batch.column(1), pa.array(tokens, pa.list_(pa.string()))], ["question", "n", "tokens"])
 
 
 def slip(wrong: str, right: str) -> bool:
@@ -116,13 +152,14 @@ def _variants(word: str, depth: int) -> set[str]:
 
 
 def _variants_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    words, counts, variants = [], [], []
-    for word, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    of, variants = [], []
+    for i, word in enumerate(batch.column(0).to_pylist()):
         for v in _variants(word, 2 if len(word) >= 7 else 1):
-            words.append(word)
-            counts.append(count)
+            of.append(i)
             variants.append(v)
-    yield pa.record_batch([pa.array(words), pa.array(counts, pa.int64()), pa.array(variants)], ["word", "df", "variant"])
+    if of:
+        words = batch.take(pa.array(of))
+        yield pa.record_batch([*words.columns, pa.array(variants)], ["word", "df", "texts", "variant"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -132,101 +169,85 @@ def is_slip(a, b):
     return pd.Series([slip(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _lexicon(df: DataFrame) -> DataFrame:
-    """Fixed and small: a few hundred words."""
-    rows = [(w, "") for w in dict.fromkeys(DROPPED)] + [(a, b) for a, b in SAME.items()]
-    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("right", T.StringType()), T.StructField("meant", T.StringType())]))
+@F.pandas_udf(T.BooleanType())
+def in_order(a, b):
+    import pandas as pd
+
+    return pd.Series([same_order(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
 
+def fixes(tokens: DataFrame) -> DataFrame:
+    """word -> right (what it was meant to be, or null) and links (names of the pairs of seldom words one slip apart that it is in).
 
-def vocabulary(tokens: DataFrame) -> DataFrame:
-    """word -> df, meant: what each word of the corpus stands for; '' for a word that does not count."""
-    words = tokens.select(F.explode(F.array_distinct("tokens")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("df"))
-    spelled = F.col("word").rlike(rf"^[^\d{CJK}]{{4,24}}$")
-    variants = map_arrow(words.where(spelled), _variants_batch, "word string, df long, variant string")
-    anchors = variants.where(F.col("df") >= ANCHOR).select(F.col("word").alias("right"), F.col("df").alias("right_df"), "variant")
-    mended = (
-        variants.join(anchors, "variant")
-        .where((F.col("word") != F.col("right")) & (F.col("df") * RATIO <= F.col("right_df")))
-        .select("word", "right", "right_df")
-        .distinct()
+    `tokens` has question, tokens and n, the number of its rows. Words are counted in rows for what is meant, and in
+    distinct questions for what is seldom: a slip stands in one question, however often that is delivered again. The words
+    that share a deletion variant are bounded by the letters that can be put into it, whatever the size of the corpus.
+    """
+    words = tokens.select(F.explode(F.array_distinct("tokens")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("texts"))
+    variants = map_arrow(words.where(F.col("word").rlike(rf"^[^\d{CJK}]{{3,}}$")), _variants_batch, "word string, df long, texts long, variant string")
+    other = variants.select(F.col("word").alias("right"), F.col("df").alias("right_df"), F.col("texts").alias("right_texts"), "variant")
+    near = (
+        variants.join(other, "variant")
+        .where((F.col("word") != F.col("right")) & ((F.col("df") * RATIO <= F.col("right_df")) | (F.least("texts", "right_texts") <= 2)))
+        .groupBy("word", "right")
+        .agg(F.first("df").alias("df"), F.first("right_df").alias("right_df"))
         .where(is_slip("word", "right"))
-        .groupBy("word")
-        .agg(F.max_by("right", F.struct(-F.levenshtein("word", "right"), "right_df", "right")).alias("right"))
     )
-    known = words.join(mended, "word", "left").withColumn("right", F.coalesce("right", "word"))
-    return known.join(F.broadcast(_lexicon(tokens)), "right", "left").select("word", "df", F.col("right").alias("right"), F.coalesce("meant", "right").alias("meant"), (F.col("right") != F.col("word")).alias("mended"))
+    meant = F.when(F.col("df") * RATIO <= F.col("right_df"), F.struct(-F.levenshtein("word", "right"), "right_df", "right"))
+    link = F.when(F.greatest("df", "right_df") < RATIO * F.least("df", "right_df"), F.concat(F.least("word", "right"), F.lit("~"), F.greatest("word", "right")))
+    return near.groupBy("word").agg(F.max(meant)["right"].alias("right"), F.array_sort(F.collect_set(link)).alias("links"))
 
 
-def canonical_questions(questions: DataFrame) -> DataFrame:
-    """question, n -> question, bag (sorted content words as one string), open (words too rare to be mended)."""
-    tokens = cut(map_arrow(spread(questions.select("question")), _tokens_batch, "question string, tokens array<string>").join(questions, "question"))
-    words = vocabulary(tokens)
-    each = tokens.select("question", F.explode(F.array_distinct("tokens")).alias("word"))
-    return (
-        each.join(words, "word")
-        .where(F.col("meant") != "")
-        .groupBy("question")
-        .agg(
-            F.array_sort(F.collect_set("meant")).alias("words"),
-            F.collect_set(F.when(F.col("word").rlike(rf"^[^\d{CJK}]{{4,24}}$") & ~F.col("mended") & (F.col("df") < ANCHOR), F.col("meant"))).alias("open"),
-        )
-        .select("question", F.concat_ws(" ", "words").alias("bag"), "words", "open")
-    )
+CANON = "question string, coded boolean, keys array<struct<key:string,side:int,words:array<string>>>"
+CODE = re.compile(r"[a-z]{1,3}\d{2,}|[a-z]\d+")
+
+
+def _canon_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    coded, keys = [], []
+    for tokens, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        right = {h["word"]: h["right"] for h in hits or () if h["right"]}
+        links = {h["word"]: h["links"] for h in hits or () if not h["right"] and h["links"]}
+        mended = [right.get(t, t) for t in tokens]
+        words = content(mended)
+        coded.append(any(CODE.fullmatch(w) for w in words))
+        own = [{"key": " ".join(sorted(words)), "side": -1, "words": words}] if words else []
+        for word in dict.fromkeys(w for w in mended if w in links and w not in FUNCTION):
+            for name in links[word]:
+                as_one = content([name if t == word else t for t in mended])
+                own.append({"key": " ".join(sorted(as_one)), "side": int(name.startswith(word + "~")), "words": as_one})
+        keys.append(own)
+    yield pa.record_batch([batch.column(0), pa.array(coded), pa.array(keys, pa.list_(pa.struct([("key", pa.string()), ("side", pa.int32()), ("words", pa.list_(pa.string()))])))], ["question", "coded", "keys"])
 
 
-def _open_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    grp, bag, words, keys = [], [], [], []
-    for g, b, ws, op in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-        for word in op:
-            rest = [w for w in ws if w != word]
-            for v in _variants(word, 1):
-                grp.append(g)
-                bag.append(b)
-                words.append(word)
-                keys.append(" ".join([*rest, "~" + v]))
-    yield pa.record_batch([pa.array(grp, pa.string()), pa.array(bag, pa.string()), pa.array(words, pa.string()), pa.array(keys, pa.string())], ["grp", "bag", "word", "near"])
+def canonical_questions(questions: DataFrame) -> DataFrame:
+    """question, n -> question, coded, keys: its canonical words and their bag, and those with a seldom word and its neighbour as one."""
+    tokens = cut(map_arrow(questions, _tokens_batch, "question string, n long, tokens array<string>"))
+    known = fixes(tokens)
+    hits = tokens.select("question", F.explode(F.array_distinct("tokens")).alias("word")).join(known, "word").groupBy("question").agg(F.collect_list(F.struct("word", "right", "links")).alias("hits"))
+    return map_arrow(tokens.join(hits, "question", "left").select("question", "tokens", "hits"), _canon_batch, CANON)
 
 
 def overlaps(df: DataFrame) -> DataFrame:
-    """train_id, eval_id, near: every pair of a train and a val or test record that ask the same of the same picture."""
+    """train_id, eval_id: every pair of a train and a val or test record that ask the same of the same picture."""
     rows = df.select(
         F.col("record_id").cast("long").alias("record_id"),
-        F.lower(F.trim("split")).alias("split"),
+        (F.lower(F.trim("split")) == "train").alias("train"),
         picture_key(F.col("image_path")).alias("picture"),
         "question",
-    ).where(F.col("question").isNotNull() & F.col("split").isin("train", "val", "test"))
+    ).where(F.col("question").isNotNull() & F.lower(F.trim("split")).isin("train", "val", "test"))
     canon = canonical_questions(rows.groupBy("question").agg(F.count(F.lit(1)).alias("n")))
-    keyed = cut(
-        rows.join(canon, "question")
-        .where(F.col("bag") != "")
-        .select("record_id", (F.col("split") == "train").alias("train"), "picture", "bag", "words", "open", F.col("bag").rlike(r"(?:^| )[a-z]{1,3}\d{2,}|(?:^| )[a-z]\d+(?: |$)").alias("coded"))
-    )
-    train = keyed.where("train").select(F.col("record_id").alias("train_id"), "picture", "bag", "coded", "open", "words")
-    held = keyed.where("not train").select(F.col("record_id").alias("eval_id"), "picture", "bag", "coded", "open", "words")
-
-    def on(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-        a, b = (x.withColumn("h", F.xxhash64(*keys)) for x in (a, b))
-        return a.join(b.select("eval_id", "h", *keys), ["h", *keys]).select("train_id", "eval_id")
-
-    same = on(train.where("picture is not null"), held.where("picture is not null"), ["picture", "bag"])
-    alone = on(train.where("picture is null"), held.where("picture is null"), ["bag"])
-    half = on(train.where("picture is null and coded"), held.where("picture is not null and coded"), ["bag"])
-    other = on(train.where("picture is not null and coded"), held.where("picture is null and coded"), ["bag"])
-
-    # Rare names: representatives of one picture and bag, then hashes of deletion variants, then the exact check.
-    grp = F.coalesce("picture", F.lit(""))
-    reps = keyed.where(F.size("open") > 0).groupBy(grp.alias("grp"), "bag").agg(F.first("words").alias("words"), F.first("open").alias("open"), F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("e"))
-    near = map_arrow(reps.select("grp", "bag", "words", "open"), _open_batch, "grp string, bag string, word string, near string")
-    sides = near.join(reps.select("grp", "bag", "t", "e"), ["grp", "bag"])
-    a = sides.where("t").select("grp", "near", F.col("bag").alias("bag_a"), F.col("word").alias("word_a"))
-    b = sides.where("e").select("grp", "near", F.col("bag").alias("bag_b"), F.col("word").alias("word_b"))
-    twins = a.join(b, ["grp", "near"]).where((F.col("bag_a") != F.col("bag_b")) & is_slip("word_a", "word_b")).select("grp", "bag_a", "bag_b").distinct()
-    slipped = (
-        twins.join(train.select("train_id", grp.alias("grp"), F.col("bag").alias("bag_a")), ["grp", "bag_a"])
-        .join(held.select("eval_id", grp.alias("grp"), F.col("bag").alias("bag_b")), ["grp", "bag_b"])
-        .select("train_id", "eval_id")
-    )
-    return same.unionByName(alone).unionByName(half).unionByName(other).unionByName(slipped)
+    # how a record may be met: by its picture; without one by any such record, and by one with a picture if coded
+    alone = F.col("picture").isNull()
+    means = F.when(~alone & F.col("coded"), F.array(F.lit("picture"), F.when(F.col("train"), "coded, alone").otherwise("alone, coded"))).when(~alone, F.array(F.lit("picture")))
+    means = F.coalesce(means, F.array(F.lit("alone"), F.when(F.col("train"), "alone, coded").otherwise("coded, alone")))
+    mark = F.when(F.col("k.side") < 0, "").when(F.col("train"), F.concat(F.lit("~"), F.col("k.side").cast("string"))).otherwise(F.concat(F.lit("~"), (1 - F.col("k.side")).cast("string")))
+    met = rows.join(canon, "question").select("record_id", "train", "picture", F.explode(means).alias("by"), "keys").select("*", F.explode("keys").alias("k"))
+    place = F.when(F.col("by") == "picture", F.col("picture")).otherwise("")
+    keyed = cut(met.select("record_id", "train", "by", place.alias("place"), F.concat(F.col("k.key"), mark).alias("bag"), "k.words").withColumn("h", F.xxhash64("by", "place", "bag")))
+    keys = ["h", "by", "place", "bag"]
+    train = keyed.where("train").select(F.col("record_id").alias("train_id"), *keys, F.col("words").alias("train_words"))
+    held = keyed.where("not train").select(F.col("record_id").alias("eval_id"), *keys, F.col("words").alias("eval_words"))
+    return train.join(held, keys).where(in_order("train_words", "eval_words")).select("train_id", "eval_id")
 
 
 def found(df: DataFrame) -> DataFrame:

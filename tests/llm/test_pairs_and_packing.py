@@ -73,6 +73,28 @@ def test_slips():
     assert not any(overlap.slip(a, b) for a, b in (("velsun", "relsun"), ("bars", "bottles"), ("calosnix", "calnix"), ("left", "right")))
 
 
+def test_other_questions_stay_other(spark):
+    """Order, single letters, months and adjectives make another question; a moved phrase doesn't."""
+    pairs_ = [
+        ("What is the value at point C?", "What is the value at point D?", False),
+        ("Is the cup left of the plate?", "Is the plate left of the cup?", False),
+        ("Are there more cats than dogs?", "Are there more dogs than cats?", False),
+        ("What is the total for May?", "What is the total?", False),
+        ("Where is the large dog?", "Where is the dog?", False),
+        ("What is the total for May?", "For May, what is the total?", True),
+        ("Welchen Wert hat Briith im Jahr 1998?", "Im Jahr 1998 hat Briith welchen Wert?", True),
+        ("Is it 12:30 or 13:20?", "Is it 13:20 or 12:30?", False),
+        ("りんごはいくつありますか？", "みかんはいくつありますか？", False),
+        ("How big is the difference between 2012 and 2014 for Zornix?", "What's the difference between 2012 and 2014 for Zornix?", True),
+        ("Who signed the form of Lumquin?", "Who signed the form of Lumqiun?", True),
+        ("Who signed the form of Calosnix?", "Who signed the form of Calnix?", False),
+    ]
+    rows = [r for i, (a, b, _) in enumerate(pairs_) for r in ((2 * i, "train", f"p_{i}a.jpg", a), (2 * i + 1, "val", f"p_{i}a.jpg", b))]
+    df = spark.createDataFrame(rows, "record_id long, split string, image_path string, question string")
+    got = {r["record_a"] // 2 for r in overlap.found(df).collect()}
+    assert got == {i for i, (_, _, same) in enumerate(pairs_) if same}
+
+
 def test_found_overlaps(spark):
     rows = [
         (1, "train", "d/a_11aa_p1.jpg", "How many bars are visible on the left side?"),
