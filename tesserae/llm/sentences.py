@@ -79,12 +79,14 @@ for _words, _mark in ((BOUND, "b"), (NUMBERED, "n"), (OPEN, "o"), (MONTHS, "m"))
 # --- layout -------------------------------------------------------------------------------------------------
 
 LINE_END = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-MARKER = re.compile(r"(?:[•◦▪●·‣⁃]\s*|[*+–—-][ \t ]+|\(?\d{1,3}[.)、][ \t ]+|\(?[A-Za-z][)][ \t ]+|[①-⑳]\s*)")
-NUMBER_MARKER = re.compile(r"\(?\d{1,3}[.)、]")
+MARKER = re.compile(r"(?:[•◦▪●·‣⁃]\s*|[*+–—-][ \t ]+|\(?\d+[.)、][ \t ]+|\(?[A-Za-z][)][ \t ]+|[①-⑳]\s*)")
+NUMBER_MARKER = re.compile(r"\(?\d+[.)、]")
 HEADING = re.compile(r"#{1,6}[ \t ]|={2,}|\d+(?:\.\d+)+[ \t ]+\S[^.!?。！？]*$")
 #: A label: few words, a capital or a caseless letter first, no digit or mark inside, and after the colon no quotation.
 LABEL = re.compile(r"(?![a-zа-яß-ÿ])([^\W\d_][^\s\d:：,，.。;；!?！？()（）\"“”„«»]*(?:[ \t  ][^\s\d:：,，.。;；!?！？()（）\"“”„«»]+){0,2})[   ]?[:：](?![/\\])[ \t  　]*(?=([^\s\"“”„«»「『’'])|$)?")
-CAPTION = re.compile(r".{1,60}[:：]\s*$")
+CAPTION = re.compile(r".*[:：]\s*$")
+#: Characters of scripts without blanks, in which a label is a few characters instead of a few words.
+UNSPACED, FEW = re.compile(r"[぀-ヿ㐀-鿿฀-໿]"), 24
 
 # --- characters ---------------------------------------------------------------------------------------------
 
@@ -96,7 +98,8 @@ CLOSERS = frozenset(PAIRS.values())
 BRACKETS = frozenset("(（[【〔")
 EVENT = re.compile("[" + re.escape(TERMINATORS) + "]+|[" + re.escape("".join(PAIRS) + "".join(CLOSERS - {'"', "＂"})) + "]")
 THAI = re.compile(r"[฀-໿]")
-THAI_GAP = re.compile(r"(?<=[฀-໿\d%])[ \t 　\n\r]+(?=[ก-ฮเ-ไກ-ໟ])")
+THAI_GAP = r"(?<=[฀-໿\d%])[ \t 　\n\r]+(?=[ก-ฮเ-ไກ-ໟ])"
+THAI_EVENT = re.compile(EVENT.pattern + "|" + THAI_GAP)
 #: Words with which a Thai sentence goes on after a blank.
 THAI_ON = re.compile(r"(?:ๆ|ฯ|ของ|และ|หรือ|ถึง|กับ|ที่|ซึ่ง|ใน|เป็น|คือ|แต่|จุด|บาท|เปอร์เซ็นต์|ด้วย|อยู่|คน|ครั้ง|ปี|เมตร|กรัม|กิโล|หน้า|น\.|แล้ว|จาก|โดย|เพื่อ|ว่า|ให้|ก็|ไป|มา|รวม)")
 #: Words with which a sentence goes on after a quotation that ends with its own terminator.
@@ -119,7 +122,7 @@ def _kinds(text: str) -> list[tuple[int, int, str]]:
             kind = "list"
         elif HEADING.match(line) and before in ("blank", "head"):
             kind = "head"
-        elif (m := LABEL.match(line)) and (m.end() == len(line) or m.group(2)) and len(m.group(1)) <= 24 and not (m.end() == len(line) and before == "plain" and not CAPTION.fullmatch(said)):
+        elif (m := LABEL.match(line)) and (m.end() == len(line) or m.group(2)) and (len(m.group(1)) <= FEW or not UNSPACED.search(m.group(1))) and not (m.end() == len(line) and before == "plain" and not CAPTION.fullmatch(said)):
             kind = "label" if m.end() < len(line) else "head"
         else:
             kind = "plain"
@@ -159,27 +162,54 @@ def _pairs(text: str, events: list[re.Match]) -> dict[int, int]:
     """Opening position to closing position of every matched quotation and bracket; what has no partner is left out."""
     stack: list[tuple[str, int]] = []
     found: dict[int, int] = {}
+    waiting = dict.fromkeys(CLOSERS, 0)  # how often each closing mark is waited for, so that no search is in vain
+
+    def close(mark: str, at: int) -> None:
+        while True:  # what was opened within and never closed is ordinary text
+            char, begun = stack.pop()
+            waiting[char] -= 1
+            if char == mark:
+                if at >= 0:
+                    found[begun] = at
+                return
+
     for m in events:
         char, at = m.group()[0], m.start()
-        if char in TERMINATORS:
+        if char in TERMINATORS or char.isspace():
             continue
-        place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == char), None) if char in CLOSERS else None
-        if char in '"＂' and place is not None and at + 1 < len(text) and not text[at + 1].isspace() and (at == 0 or text[at - 1].isspace()) and text[at + 1].isalnum():
-            # a second opening mark: the first one was never closed
-            del stack[place:]
-            place = None
-        if place is not None:
-            found[stack[place][1]] = at
-            del stack[place:]
+        open_ = waiting.get(char, 0) > 0
+        if char in '"＂' and open_ and at + 1 < len(text) and not text[at + 1].isspace() and (at == 0 or text[at - 1].isspace()) and text[at + 1].isalnum():
+            close(char, -1)  # a second opening mark: the first one was never closed
+            open_ = False
+        if open_:
+            close(char, at)
         elif char in PAIRS:
             stack.append((PAIRS[char], at))
-        elif char == "”" and any(s[0] == "“" for s in stack):  # „ … ” as some keyboards have it
-            k = max(k for k, s in enumerate(stack) if s[0] == "“")
-            found[stack[k][1]] = at
-            del stack[k:]
+            waiting[PAIRS[char]] += 1
+        elif char == "”" and waiting["“"]:  # „ … ” as some keyboards have it
+            close("“", at)
     return found
 
 
+class Word:
+    """The word that is being read: where it begins and what is in it; carried along, so that no character is looked at twice."""
+
+    def __init__(self, text: str, at: int) -> None:
+        self.text, self.begin, self.read = text, at, at
+        self.path = self.dotted = False
+
+    def to(self, at: int) -> None:
+        text = self.text
+        for k in range(at - 1, self.read - 1, -1):
+            if text[k].isspace():
+                self.begin, self.path, self.dotted = k + 1, False, False
+                self.read = k + 1
+                break
+        self.path |= text.find("/", self.read, at) >= 0 or text.find("@", self.read, at) >= 0
+        self.dotted |= text.find(".", self.read, at) >= 0
+        self.read = max(at, self.read)
+
+
 def _cjk(char: str) -> bool:
     return "぀" <= char <= "ヿ" or "㐀" <= char <= "鿿" or "가" <= char <= "힯"
 
@@ -263,7 +293,8 @@ def _gap_is_wide(text: str, at: int, end: int) -> bool:
 
 def cut_block(text: str, start: int, end: int, marked: bool) -> list[int]:
     """Ends of the units of one block, without the block's own end."""
-    events = list(EVENT.finditer(text, start, end))
+    thai = THAI.search(text, start, end) is not None
+    events = list(THAI_EVENT.finditer(text, start, end) if thai else EVENT.finditer(text, start, end))
     skip = start
     if marked:
         head = start
@@ -277,10 +308,17 @@ def cut_block(text: str, start: int, end: int, marked: bool) -> list[int]:
     stack: list[tuple[int, int, bool]] = []  # opening, closing, whether it begins its unit
     spoken = 0  # the end of the last terminator inside the stack
     resume = skip
+    word = Word(text, start)
     for m in events:
         at, stop, run = m.start(), m.end(), m.group()
+        word.to(at)
         if at < resume:
             continue
+        if run[0].isspace():
+            if not stack and _thai_ends(text, start, at, stop):
+                ends.append(at)
+                since = resume = stop
+            continue
         if run[0] not in TERMINATORS:
             if at in pairs:
                 stack.append((at, pairs[at], not text[since:at].strip(" \t\n\r  　*_#")))
@@ -309,15 +347,13 @@ def cut_block(text: str, start: int, end: int, marked: bool) -> list[int]:
         tail = stop
         while tail < end and text[tail] in CLOSERS and tail not in pairs and text[tail] not in '"＂':
             tail += 1
-        if _after_stop(text, run, since, at, stop, tail, end):
+        if _after_stop(text, run, since, at, stop, tail, end, word):
             ends.append(tail)
             since = resume = tail
-    if THAI.search(text, start, end):
-        ends = sorted({*ends, *_thai(text, skip, end, pairs)})
     return ends
 
 
-def _after_stop(text: str, run: str, since: int, at: int, stop: int, tail: int, end: int) -> bool:
+def _after_stop(text: str, run: str, since: int, at: int, stop: int, tail: int, end: int, word: Word) -> bool:
     if tail >= end:
         return True
     mark = run[-1]
@@ -333,7 +369,7 @@ def _after_stop(text: str, run: str, since: int, at: int, stop: int, tail: int,
         return kind in ("upper", "digit") or kind in ("cjk", "caseless") and at > 0 and not text[at - 1].isspace()
     if mark in "!?‼⁇⁈⁉":
         if not nxt.isspace():
-            return _cjk(nxt) or _glued(text, at, tail, end)
+            return _cjk(nxt) or _glued(text, at, tail, word)
         if _dash_first(text, tail, end):
             return False
         kind = _begins(text, tail, end)
@@ -341,13 +377,13 @@ def _after_stop(text: str, run: str, since: int, at: int, stop: int, tail: int,
     if not nxt.isspace():
         if _cjk(nxt):
             return not text[at - 1 : at].isdigit() and not text[at - 1 : at].isascii()
-        return len(run) == 1 and _glued(text, at, tail, end)
+        return len(run) == 1 and _glued(text, at, tail, word)
     if len(run) > 1:
         return _begins(text, tail, end) in ("upper", "digit")
     return _full_stop(text, since, at, tail, end)
 
 
-def _glued(text: str, at: int, tail: int, end: int) -> bool:
+def _glued(text: str, at: int, tail: int, word: Word) -> bool:
     """A lost blank: a small letter, digit or mark before the terminator and a capitalised word, or an opening mark, right after it."""
     before, nxt = text[at - 1 : at], text[tail]
     if nxt in PAIRS:
@@ -358,13 +394,9 @@ def _glued(text: str, at: int, tail: int, end: int) -> bool:
         return False
     if ABBREVIATIONS.look(text, at) and "b" in ABBREVIATIONS.look(text, at):
         return False
-    begin = at
-    while begin > 0 and not text[begin - 1].isspace():
-        begin -= 1
-    word = text[begin:at]
-    if "/" in word or "@" in word or word.startswith("www"):
+    if word.path or text.startswith("www", word.begin):
         return False
-    return before.islower() or before.isdigit() or before in "%)\"”»'" or "." in word or not before.isascii()
+    return before.islower() or before.isdigit() or before in "%)\"”»'" or word.dotted or not before.isascii()
 
 
 def _dash_first(text: str, at: int, end: int) -> bool:
@@ -415,18 +447,12 @@ def _after_group(text: str, run: str, opened: int, first: bool, inside: str, sin
     return True
 
 
-def _thai(text: str, start: int, end: int, pairs: dict[int, int]) -> Iterator[int]:
-    """Thai and Lao close a sentence with a blank; a blank within one stands beside numbers, names and repeat marks."""
-    spans = sorted(pairs.items())
-    for m in THAI_GAP.finditer(text, start, end):
-        if text[m.start() - 1] in "ๆฯ" or THAI_ON.match(text, m.end(), end):
-            continue
-        if any(a < m.start() < b for a, b in spans):
-            continue
-        before = text[max(start, m.start() - 20) : m.start()]
-        if before[-1].isdigit() and not re.search(r"(?:ถึง|ปี|หน้า|ที่)[  ]*\d+$", before) and not re.search(r"(?:^|\s)\d{4}$", before):
-            continue
-        yield m.start()
+def _thai_ends(text: str, start: int, at: int, stop: int) -> bool:
+    """Whether a blank closes a sentence of Thai or Lao; one within a sentence stands beside numbers, names and repeat marks."""
+    if text[at - 1] in "ๆฯ" or THAI_ON.match(text, stop):
+        return False
+    before = text[max(start, at - 20) : at]
+    return not before[-1].isdigit() or re.search(r"(?:ถึง|ปี|หน้า|ที่)[  ]*\d+$", before) is not None or re.search(r"(?:^|\s)\d{4}$", before) is not None
 
 
 def units(text: str | None) -> list[tuple[int, int]]:

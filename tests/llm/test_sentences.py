@@ -1,6 +1,7 @@
 """Sentence units: hand-made cases in several scripts, the partition property, and the operator over rows."""
 
 import random
+import time
 
 import pytest
 
@@ -26,6 +27,8 @@ CASES = [
     ("В 1962 г. кривая упала, т. е. меньше. Какая толпа!", ["В 1962 г. кривая упала, т. е. меньше.", "Какая толпа!"]),
     ("बोर्ड पर “दो बार।” लिखा है। कितनी भीड़ है!", ["बोर्ड पर “दो बार।” लिखा है।", "कितनी भीड़ है!"]),
     ("—¿Dónde está? —pregunta un niño. ¡Sí!", ["—¿Dónde está? —pregunta un niño.", "¡Sí!"]),
+    ("The page lists:\n999. A key.\n1000. A map. It is old.", ["The page lists:", "999. A key.", "1000. A map.", "It is old."]),
+    ("Donaudampfschifffahrtsgesellschaft: Abfahrt. Los.\nEnde.", ["Donaudampfschifffahrtsgesellschaft: Abfahrt.", "Los.", "Ende."]),
     ("Near the door.The light is on.", ["Near the door.", "The light is on."]),
 ]
 
@@ -58,3 +61,10 @@ def test_rows_ties_and_clashing_columns(spark):
     rows = sentence_units(df).collect()
     assert sorted((r["doc_id"], r["start_char"], r["end_char"]) for r in rows) == [(1, 0, 8), (1, 0, 8), (1, 9, 15), (1, 9, 15), (4, 0, 399_999)]
     assert sentence_units(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["(" * 100_000 + "]" * 100_000, "/Ab" + ".Ab" * 100_000, "“" * 50_000 + "»" * 50_000 + " x.", "“ก ข” ภาพนี้ แสดงป้าย " * 20_000])
+def test_time_is_linear(text):
+    began = time.process_time()
+    units(text)
+    assert time.process_time() - began < 15
