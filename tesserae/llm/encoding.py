@@ -27,7 +27,13 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import spread
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def pattern() -> str:
+    """The pattern that splits a text before the merges, as the vocabulary's package has it."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -130,7 +136,7 @@ class Encoder(dict):
         self.ranks = ranks
         whole = [(k, r) for k, r in ranks.items() if merge(k, ranks) == [r]]
         self.table = PerfectHash([k for k, _ in whole], [r for _, r in whole])
-        self.split = regex.compile(PATTERN).findall
+        self.split = regex.compile(pattern()).findall
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "replace")

@@ -1,18 +1,20 @@
 """Mixing sources to target weights.
 
-The tokens of every document are counted and added up by source and block, a block being a hash bucket of the
-source's documents. From the sums of the sources the largest mixture follows in which every source with documents
-has its target share and no document is used more than its cap: the size at which the first source reaches its cap.
-A source's quota is whole passes over its blocks and, for the rest, blocks in a seeded order; the last of them is
-used up to the quota, document by document. A splitting tree deals the block uses out: at every node the counts of
-the sources are divided among two halves of the shards by a multivariate hypergeometric draw, so that the quotas are
-kept exactly and every shard has a fair part of every source. The shuffle within a shard is local.
-
-The driver sees sums of BLOCKS blocks a source, whatever the number of documents, never documents.
+The tokens of every document of a source with a target are counted and added up by source and block, a block being a
+hash bucket of the source's documents. From the sums of the sources the largest mixture follows in which every source with
+documents has its target share and no document is used more than its cap: the size at which the first source reaches its
+cap. A `total` asks for another size instead; a source that its cap does not let come to its share then gives what it can,
+and the report shows it. A source's quota is whole passes over its blocks and, for the rest, blocks in a seeded order; the
+last of them is used up to the quota, by parts and then document by document. A splitting tree deals the block uses out:
+at every node the counts of the sources are divided among two halves of the shards by a multivariate hypergeometric draw,
+so that the quotas are kept exactly and every shard has a fair part of every source. Every shard is then shuffled locally.
+
+There are about as many blocks of a source as documents in a block, and as many shards as hold SHARD_TOKENS each. The
+driver sees sums of at most MOST_BLOCKS blocks a target and the parts of one block of each, never documents.
 
 Defined cases: documents without text or tokens, or of a source without a target, are not used; target shares are
 scaled to the sources that have tokens; a null or missing cap is 1; repeated documents are documents of their own;
-an empty table gives no rows.
+an empty table gives no rows; a quota is met but for half the size of one document.
 """
 
 from __future__ import annotations
@@ -26,11 +28,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, source_key, spread
-from tesserae.llm.encoding import PATTERN, read_ranks, vocabulary_path
+from tesserae.llm.encoding import pattern, read_ranks, vocabulary_path
+
+#: Blocks of a source at least and at most, and parts of a block.
+LEAST_BLOCKS, MOST_BLOCKS, PARTS = 16, 4096, 1024
+#: Tokens of a shard, and shards at least and at most.
+SHARD_TOKENS, LEAST_SHARDS, MOST_SHARDS = 1 << 20, 8, 1 << 16
+#: So many block uses are sent to every task; more are joined by a shuffle.
+FEW = 200_000
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCKS = 1024
-SHARDS = 64
 SEED = 20
 
 _COUNTERS: dict = {}
@@ -40,7 +47,7 @@ def _tokenizer(path: str):
     if path not in _COUNTERS:
         import tiktoken
 
-        _COUNTERS[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+        _COUNTERS[path] = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=read_ranks(path), special_tokens={})
     return _COUNTERS[path]
 
 
@@ -59,14 +66,23 @@ def measured(documents: DataFrame, path: str | None = None) -> DataFrame:
     return spread(rows).mapInArrow(run, "doc_id long, source string, n_tokens long")
 
 
-def quotas(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, int]:
-    """Tokens each source is to give: the largest mixture with the target shares under the caps."""
+def quotas(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, int]:
+    """Tokens each source is to give: of `total`, or of the largest mixture with the target shares under the caps."""
     present = {s: (share, max(cap or 1, 1)) for s, (share, cap) in targets.items() if share and share > 0 and tokens.get(s, 0) > 0}
     whole = sum(share for share, _ in present.values())
     if not present:
         return {}
-    total = min(cap * tokens[s] / (share / whole) for s, (share, cap) in present.items())
-    return {s: round(total * share / whole) for s, (share, _) in present.items()}
+    size = min(cap * tokens[s] / (share / whole) for s, (share, cap) in present.items()) if total is None else total
+    return {s: min(round(size * share / whole), cap * tokens[s]) for s, (share, cap) in present.items()}
+
+
+def blocks_of(documents: int) -> int:
+    """About as many blocks as documents in a block."""
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (int(max(documents, 1) ** 0.5) - 1).bit_length()))
+
+
+def shards_of(tokens: int) -> int:
+    return min(MOST_SHARDS, max(LEAST_SHARDS, -(-tokens // SHARD_TOKENS)))
 
 
 def deal(uses: dict[str, int], shards: int, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -90,66 +106,87 @@ def deal(uses: dict[str, int], shards: int, seed: int = SEED) -> dict[str, np.nd
     return {n: out[i] for i, n in enumerate(names)}
 
 
-def mixture(documents: DataFrame, targets: DataFrame, path: str | None = None, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, n_tokens, copy_no (from 0), shard, place (a hash to order a shard by): one row a use."""
+def mixture(documents: DataFrame, targets: DataFrame, path: str | None = None, shards: int | None = None, seed: int = SEED, total: int | None = None) -> DataFrame:
+    """doc_id, source, n_tokens, copy_no (from 0), shard, place (in the shuffled shard, from 0): one row a use."""
     spark = documents.sparkSession
     wanted = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeat").cast("int").alias("cap")).where("source is not null")
-    docs = cut(measured(documents, path).where("n_tokens > 0").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BLOCKS)).cast("int")))
-    blocks: dict[str, dict[int, int]] = {}
-    for r in docs.join(F.broadcast(wanted.select("source")), "source", "left_semi").groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():  # BLOCKS a target
-        blocks.setdefault(r["source"], {})[r["block"]] = r["n"]
-    asked = {r["source"]: (r["share"], r["cap"]) for r in wanted.collect()}
-    quota = quotas({s: sum(b.values()) for s, b in blocks.items()}, asked)
+    asked = {r["source"]: (r["share"], r["cap"]) for r in wanted.collect()}  # a row a target
+    sized = cut(measured(documents.where(source_key(F.col("source")).isin(list(asked))), path).where("n_tokens > 0"))
+    many = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a target
+    count = F.lit(LEAST_BLOCKS)
+    for source, n in many.items():
+        count = F.when(F.col("source") == source, F.lit(blocks_of(n))).otherwise(count)
+    docs = sized.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), count.cast("long")).cast("int"))
+    part = F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id"), F.lit(PARTS)).cast("int")
+    sums: dict[str, dict[int, int]] = {}
+    for r in docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():  # MOST_BLOCKS a target at most
+        sums.setdefault(r["source"], {})[r["block"]] = r["n"]
+    quota = quotas({s: sum(b.values()) for s, b in sums.items()}, asked, total)
 
     whole: list[tuple[str, int, int]] = []  # source, block, copy
-    partial: list[tuple[str, int, int, int]] = []  # and tokens to take
+    ends: dict[tuple[str, int], tuple[int, int]] = {}  # source, block: copy and tokens to take
     rng = np.random.default_rng(seed)
     for source in sorted(quota):
-        sums = blocks[source]
-        passes, rest = divmod(quota[source], sum(sums.values()))
-        order = [sorted(sums)[i] for i in rng.permutation(len(sums))]
+        own = sums[source]
+        passes, rest = divmod(quota[source], sum(own.values()))
+        order = [sorted(own)[i] for i in rng.permutation(len(own))]
         whole += [(source, b, c) for c in range(passes) for b in order]
         for b in order:
-            if rest >= sums[b]:
+            if rest >= own[b]:
                 whole.append((source, b, passes))
-                rest -= sums[b]
+                rest -= own[b]
             else:
                 if rest:
-                    partial.append((source, b, passes, rest))
+                    ends[source, b] = (passes, rest)
                 break
     counts: dict[str, int] = {}
-    for source, *_ in [*whole, *partial]:
+    for source, *_ in [*whole, *ends]:
         counts[source] = counts.get(source, 0) + 1
-    dealt = deal(counts, shards, seed)
+    dealt = deal(counts, shards or shards_of(sum(quota.values())), seed)
     turn: dict[str, list[int]] = {}
     for source, n in dealt.items():  # disjoint draws of permuted blocks
-        own = np.repeat(np.arange(shards), n)
-        turn[source] = [int(own[i]) for i in rng.permutation(len(own))]
-    rows = [(s, b, c, turn[s].pop(), None) for s, b, c in whole] + [(s, b, c, turn[s].pop(), t) for s, b, c, t in partial]
-    dealing = spark.createDataFrame(rows, "source string, block int, copy_no int, shard int, take long")
-
-    # sources times blocks times passes, bounded by the targets; grouped so that a document meets it once
-    uses = dealing.groupBy("source", "block").agg(F.collect_list(F.struct("copy_no", "shard", "take")).alias("uses"))
-    met = docs.join(F.broadcast(uses), ["source", "block"]).withColumn("use", F.explode("uses")).select("doc_id", "source", "n_tokens", "block", "use.*")
-    full = met.where("take is null")
-    first = W.partitionBy("source", "block", "copy_no").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
-    some = met.where("take is not null").withColumn("so_far", F.sum("n_tokens").over(first.rowsBetween(W.unboundedPreceding, 0))).where(F.col("so_far") - F.col("n_tokens") / 2 <= F.col("take"))
+        own_turns = np.repeat(np.arange(len(n)), n)
+        turn[source] = [int(own_turns[i]) for i in rng.permutation(len(own_turns))]
+    dealing = spark.createDataFrame([(s, b, c, turn[s].pop()) for s, b, c in whole], "source string, block int, copy_no int, shard int")
+    uses = dealing.groupBy("source", "block").agg(F.collect_list(F.struct("copy_no", "shard")).alias("uses"))  # so that a document meets its block's once
     columns = ["doc_id", "source", "n_tokens", "copy_no", "shard"]
-    return full.select(columns).unionByName(some.select(columns)).withColumn("place", F.xxhash64(F.lit(seed + 2), "doc_id", "copy_no"))
+    full = docs.join(F.broadcast(uses) if len(whole) <= FEW else uses, ["source", "block"]).withColumn("use", F.explode("uses")).select("doc_id", "source", "n_tokens", "use.*")
+
+    # the last block of a source: whole parts of it, then documents of one part
+    last = spark.createDataFrame([(s, b, c, turn[s].pop()) for (s, b), (c, _) in ends.items()], "source string, block int, copy_no int, shard int")
+    some = docs.withColumn("part", part).join(F.broadcast(last), ["source", "block"])  # a block a target
+    parts: dict[str, dict[int, int]] = {}
+    for r in some.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")).collect():  # PARTS a target at most
+        parts.setdefault(r["source"], {})[r["part"]] = r["n"]
+    edges = []
+    for (source, _), (_, rest) in ends.items():
+        for p in sorted(parts.get(source, {})):
+            if rest < parts[source][p]:
+                edges.append((source, p, rest))
+                break
+            rest -= parts[source][p]
+    edge = spark.createDataFrame(edges, "source string, edge int, take long")
+    near = some.join(F.broadcast(edge), "source")
+    first = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    cutoff = near.where(F.col("part") == F.col("edge")).withColumn("so_far", F.sum("n_tokens").over(first)).where(F.col("so_far") - F.col("n_tokens") / 2 <= F.col("take"))
+    used = full.select(columns).unionByName(near.where(F.col("part") < F.col("edge")).select(columns)).unionByName(cutoff.select(columns))
+    local = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "copy_no"), "doc_id", "copy_no")
+    return used.withColumn("place", F.row_number().over(local) - 1)
 
 
-def repeats(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, source, n_tokens, repeats, shards: every document of the mixture once, with its uses."""
-    return mixture(documents, targets, path).groupBy("doc_id", "source", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("repeats"), F.array_sort(F.collect_list("shard")).alias("shards"))
+def repeats(documents: DataFrame, targets: DataFrame, path: str | None = None, total: int | None = None) -> DataFrame:
+    """doc_id, source, n_tokens, repeats, shards, places: every document of the mixture once, with where its uses stand."""
+    uses = mixture(documents, targets, path, total=total).groupBy("doc_id", "source", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("u"))
+    return uses.select("doc_id", "source", "n_tokens", F.size("u").alias("repeats"), F.col("u.shard").alias("shards"), F.col("u.place").alias("places"))
 
 
-def shares(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, path: str | None = None, total: int | None = None) -> DataFrame:
     """The shares really reached, of every source with a target."""
-    used = mixture(documents, targets, path).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"), (F.max("copy_no") + 1).alias("most_repeats"))
-    total = used.agg(F.sum("tokens").alias("total"))
+    used = mixture(documents, targets, path, total=total).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"), (F.max("copy_no") + 1).alias("most_repeats"))
+    total_ = used.agg(F.sum("tokens").alias("total"))
     wanted = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeat")
     return (
         wanted.join(used, "source", "left")
-        .join(F.broadcast(total))
+        .join(F.broadcast(total_))
         .select("source", "target_share", "max_repeat", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_repeats")), F.round(F.coalesce("tokens", F.lit(0)) / F.col("total"), 6).alias("share"))
     )

@@ -5,7 +5,8 @@ size is bounded by the capacity, whatever the number of records. On it the longe
 sequence, a bitset of reachable sums over the remaining lengths (bounded multiples, by binary splitting) gives the
 sum closest to the capacity, and the counts of that sum are backtracked. The multiset found is used as often as the
 counts allow before the next one is sought. Records are then numbered within their length, in hash buckets with
-offsets so that a length shared by a third of all records is no one task's work, and take their places by number.
+offsets so that a length shared by a third of all records is no one task's work (there are more buckets the more
+records there are), and take their places by number.
 
 A record longer than the capacity, and only such a one, is divided: pieces of full capacity and a rest that is
 packed like any other. A length that is null, not positive or below what the text alone must have is replaced by an
@@ -30,8 +31,8 @@ from tesserae.llm.common import cut
 
 #: Tokens of one image tile, of the marks of a turn, and characters a token.
 TILE, TURN, LATIN, CJK = 256, 4, 3.6, 1.1
-#: Hash buckets within a length.
-BUCKETS = 64
+#: Records a hash bucket of a length holds at most, about, if all have that length; and buckets at least.
+BUCKET_ROWS, BUCKETS = 1_000_000, 64
 
 
 def reach(counts: dict[int, int], target: int) -> tuple[int, dict[int, int]]:
@@ -100,11 +101,17 @@ def pieces(lengths: DataFrame, budgets: DataFrame) -> DataFrame:
     )
 
 
+def buckets(rows: int) -> int:
+    """Hash buckets within a length: as many as keep even a length that all records have from being one task's work."""
+    return max(BUCKETS, 1 << (max(rows, 1) // BUCKET_ROWS).bit_length())
+
+
 def sequences(conversation: DataFrame, budgets: DataFrame) -> DataFrame:
     """budget_name, seq_id, row_id, piece, n_tokens (of the piece), estimated, fill (of the sequence), capacity."""
     spark = conversation.sparkSession
-    items = pieces(usable_lengths(conversation), budgets).withColumn("bucket", F.pmod(F.xxhash64("row_id", "piece"), F.lit(BUCKETS)).cast("int"))
-    sizes = cut(items.groupBy("budget_name", "capacity", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))  # used twice; at most BUCKETS times the capacity
+    many = buckets(conversation.count())
+    items = pieces(usable_lengths(conversation), budgets).withColumn("bucket", F.pmod(F.xxhash64("row_id", "piece"), F.lit(many)).cast("int"))
+    sizes = cut(items.groupBy("budget_name", "capacity", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))  # used twice
     before = W.partitionBy("budget_name", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("budget_name", "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 

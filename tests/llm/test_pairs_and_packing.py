@@ -60,6 +60,11 @@ def test_sequences(spark):
     assert packing.sequences(c.where("false"), b).count() == 0
 
 
+def test_buckets_grow_with_the_records():
+    assert packing.buckets(0) == packing.buckets(1_000_000) == 64
+    assert all(n / packing.buckets(n) <= packing.BUCKET_ROWS for n in (10**6, 10**8, 3 * 10**9, 10**12))
+
+
 def test_long_lengths_are_divided(spark):
     c = spark.createDataFrame([(1, 39_500, [("human", "Hi")], None, None), (2, 300, [("human", "Hi")], None, None), (3, -100, [("human", "Hi")], None, None)], f"row_id long, length int, conversations {TURNS}, image array<string>, video string")
     b = spark.createDataFrame([("l", 8192)], "budget_name string, capacity int")

@@ -99,3 +99,23 @@ def test_mixture_keeps_caps_and_shares(spark):
     again = mixing.repeats(docs, targets).collect()
     assert sorted(map(tuple, ((r["doc_id"], r["repeats"]) for r in got))) == sorted(map(tuple, ((r["doc_id"], r["repeats"]) for r in again)))
     assert mixing.repeats(docs.where("false"), targets).count() == 0
+
+
+def test_shards_are_shuffled_and_a_total_is_met(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("word" for _ in range(rng.randint(5, 40))), "a" if i % 4 else "b") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as block", "2 as place")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeat int")
+    got = mixing.mixture(docs, targets, shards=6).collect()
+    for shard in range(6):
+        own = sorted((r["place"], r["doc_id"]) for r in got if r["shard"] == shard)
+        assert [p for p, _ in own] == list(range(len(own))) and len(own) > 100
+        ids = [d for _, d in own]
+        assert abs(sum(a < b for a, b in zip(ids, ids[1:], strict=False)) / len(ids) - 0.5) < 0.15  # in no order
+    assert len({(r["doc_id"], r["copy_no"]) for r in got}) == len(got)
+    small = mixing.shares(docs, targets, total=6000).collect()
+    assert all(abs(r["tokens"] - 3000) <= 40 and r["most_repeats"] == 1 for r in small)
+    much = {r["source"]: r for r in mixing.shares(docs, targets, total=10**9).collect()}  # the caps decide
+    assert {s: r["most_repeats"] for s, r in much.items()} == {"a": 2, "b": 3} and much["a"]["documents"] == 1500
+    assert mixing.blocks_of(0) == 16 and mixing.blocks_of(10_000) == 128 and mixing.blocks_of(10**12) == mixing.MOST_BLOCKS
+    assert mixing.shards_of(10) == 8 and mixing.shards_of(100 << 20) == 100
