@@ -12,54 +12,86 @@ from pyspark.sql import types as T
 from tesserae.functions import text as X
 from tesserae.functions.numeric import NUMBER
 
-#: What leads to an open answer, and words of quantity.
+#: What leads to an open answer, and words of quantity (two of them are one, so that neither is found).
 LEADS = ["could be ", "so ", "is ", "thus ", "therefore ", "final ", "answer ", "result "]
-QUANTITY_WORDS = ["most", "least", "fewest", "more", "less", "fewer", "largest", "smallest", "greatest", "larger", "smaller", "greater", "highest", "lowest", "higher", "lower", "increase", "decrease", "minimum", "maximum", "max", "min", "mean", "average", "median", "total", "sum", "add", "subtract", "difference", "quotient", "gap", "half", "double", "twice", "triple", "square", "cube", "root", "approximate", "approximation", "triangle", "rectangle", "circle", "sphere", "cylinder", "cone", "pyramid", "multiply", "divide", "percentage", "percent", "ratio", "proportion", "fraction", "rate"]
+QUANTITY_WORDS = ["most", "least", "fewestmore", "less", "fewer", "largest", "smallest", "greatest", "larger", "smaller", "greater", "highest", "lowest", "higher", "lower", "increase", "decrease", "minimum", "maximum", "max", "min", "mean", "average", "median", "total", "sum", "add", "subtract", "difference", "quotient", "gap", "half", "double", "twice", "triple", "square", "cube", "root", "approximate", "approximation", "triangle", "rectangle", "circle", "square", "cube", "sphere", "cylinder", "cone", "pyramid", "multiply", "divide", "percentage", "percent", "ratio", "proportion", "fraction", "rate"]
 
 
 def multi_choice(response: Column, options: Column, row: Column, seed: int = 42) -> Column:
     """The option a free answer names: (A) before a bare A before an option's text in an answer of over five words.
 
-    Of several the one named last; of none a choice that depends on the row and the seed alone.
+    Of several the one whose last mention begins last, of equal ones the first option; of none a choice that depends on the
+    row and the seed alone.
     """
     r = response
     for mark in (",", ".", "!", "?", ";", ":", "'"):
         r = F.regexp_replace(r, f"^[{mark}]+|[{mark}]+$", "")
-    r = F.concat(F.lit(" "), r, F.lit(" "))
-    place = lambda f: F.transform(options, lambda o: F.struct(f(o).alias("at"), o["key"].alias("key")))
-    bracket = place(lambda o: _last(r, F.concat(F.lit("("), o["key"], F.lit(")"))))
-    bare = place(lambda o: _last(r, F.concat(F.lit(" "), o["key"], F.lit(" "))))
-    told = place(lambda o: F.when(F.size(X.words(r)) > 5, _last(F.lower(r), F.lower(o["text"]))).otherwise(0))
-    pick = lambda a: F.array_max(F.filter(a, lambda x: x["at"] > 0))
+
+    def named(text: Column) -> Column:
+        low = F.lower(text)
+        place = lambda f: F.transform(options, lambda o, i: F.struct(f(o).alias("at"), (-i).alias("order"), o["key"].alias("key")))
+        pick = lambda a: F.array_max(F.filter(a, lambda x: x["at"] > 0))["key"]
+        bracket = place(lambda o: last_start(text, F.concat(F.lit("("), o["key"], F.lit(")"))))
+        bare = place(lambda o: last_start(text, F.concat(F.lit(" "), o["key"], F.lit(" "))))
+        told = place(lambda o: F.when(F.size(X.words(text)) > 5, last_start(low, F.lower(o["text"]))).otherwise(0))
+        return F.coalesce(pick(bracket), pick(bare), pick(told))
+
     chance = F.element_at(options, (F.pmod(F.xxhash64(F.lit(seed), row), F.size(options)) + 1).cast("int"))["key"]
-    return F.coalesce(pick(bracket)["key"], pick(bare)["key"], pick(told)["key"], chance)
+    return F.coalesce(X.let(F.concat(F.lit(" "), r, F.lit(" ")), named), chance)
 
 
-def _last(text: Column, part: Column) -> Column:
-    """Where the last occurrence ends; 0 for none."""
+def last_start(text: Column, part: Column) -> Column:
+    """Where the last occurrence begins, from 1; 0 for none. An empty part is found at the end."""
     back = F.call_function("instr", F.reverse(text), F.reverse(part))
-    return F.when((back > 0) & (F.length(part) > 0), F.length(text) - back + 1).otherwise(0)
+    return F.when(F.length(part) == 0, F.length(text) + 1).when(back > 0, F.length(text) - back - F.length(part) + 2).otherwise(0)
 
 
 def open_answer(response: Column) -> Column:
-    """Pieces of a free answer that may be the answer: per line what follows a lead word, and the numbers in it."""
-    lines = F.filter(F.split(F.lower(F.regexp_replace(X.strip(response), r"^\.+|\.+$", "")), "\n"), lambda x: x != "")
-    # the shortest rest behind a lead word
-    tail = lambda x: F.array_min(F.array(*[F.when(F.contains(x, F.lit(w)), F.struct(F.length(F.substring_index(x, w, -1)).alias("n"), F.substring_index(x, w, -1).alias("s"))) for w in LEADS]))["s"]
-    said = F.transform(lines, lambda x: X.strip(F.coalesce(tail(x), x)))
-    return F.array_distinct(F.flatten(F.array(said, F.flatten(F.transform(said, X.extract_numbers)))))
+    """Pieces of a free answer that may be the answer, then the numbers in them.
+
+    Of every line the shortest rest behind a lead word (in the last one an equals sign leads, too), unless it is a mark
+    alone; without any the whole answer. Lower case comes first, so sentences are not told apart.
+    """
+    whole = F.lower(F.regexp_replace(X.strip(response), r"^\.+|\.+$", ""))
+
+    def rest(line: Column, leads: list[str]) -> Column:
+        found = F.array_compact(F.array(*[F.when(F.contains(line, F.lit(w)), X.strip(F.substring_index(line, w, -1))) for w in leads]))
+        # the first of the shortest that isn't empty; an empty one gives way to any that follows
+        step = lambda best, x: F.when((F.length(best) == 0) | (F.length(x) < F.length(best)), x).otherwise(best)
+        return F.aggregate(found, F.lit("").cast("string"), step)
+
+    def pieces(text: Column) -> Column:
+        lines = F.split(text, "\n")
+        kept = F.transform(lines, lambda x, i: F.when(i == F.size(lines) - 1, rest(x, [*LEADS, "="])).otherwise(rest(x, LEADS)))
+        kept = F.filter(kept, lambda x: (x != "") & ~x.isin(":", ",", ".", "!", "?", ";", "'"))
+        return F.when(F.size(kept) == 0, F.array(text)).otherwise(kept)
 
+    return X.let(X.let(whole, pieces), lambda p: F.concat(p, F.flatten(F.transform(p, X.extract_numbers))))
 
-def normal_form(s: Column) -> Column:
-    """A number rounded to two places, as text; else lower case."""
-    bare = F.replace(s, F.lit(","), F.lit(""))
-    return F.when(bare.rlike(NUMBER), F.bround(bare.try_cast("double"), 2).cast("string")).otherwise(F.lower(s))
+
+FORM = "array<struct<text:string,number:double>>"
+
+
+def normal_forms(c: Column) -> Column:
+    """A number rounded to two places; else lower case, and a single character with a blank on either side in two forms."""
+    bare = F.replace(X.strip(c), F.lit(","), F.lit(""))
+    form = lambda t, n: F.struct(t.alias("text"), n.alias("number"))
+    none, text = F.lit(None).cast("double"), F.lower(X.strip(c))
+    single = F.array(form(F.concat(F.lit(" "), text), none), form(F.concat(text, F.lit(" ")), none))
+    number = F.array(form(F.lit(None).cast("string"), F.bround(bare.try_cast("double"), 2)))
+    return F.when(bare.rlike(NUMBER), number).when(F.length(text) == 1, single).otherwise(F.array(form(text, none)))
 
 
 def open_correct(response: Column, golds: Column) -> Column:
     """A gold text contained in a piece, or a gold number among the pieces' numbers."""
-    pieces = F.transform(open_answer(response), normal_form)
-    return F.exists(golds, lambda g: F.exists(pieces, lambda p: F.when(normal_form(g).rlike(NUMBER), p == normal_form(g)).otherwise(F.contains(p, F.lower(g)))))
+    pieces = F.flatten(F.transform(open_answer(response), normal_forms))
+    forms = F.flatten(F.transform(golds, normal_forms))
+    return X.let(pieces, lambda ps: F.exists(forms, lambda g: F.exists(ps, lambda p: F.coalesce(F.contains(p["text"], g["text"]) | (p["number"] == g["number"]), p["number"] == g["number"], F.lit(False)))))
+
+
+def choice_correct(gold: Column, predicted: Column) -> Column:
+    """Whether the option is the gold one, or one of several."""
+    return F.coalesce(F.array_contains(gold, predicted), F.lit(False))
 
 
 def nearest_choice(text: Column, choices: Column) -> Column:
@@ -69,12 +101,13 @@ def nearest_choice(text: Column, choices: Column) -> Column:
 
 def predicates(c: Column) -> dict[str, Column]:
     """Digit, number word, word of quantity, truth word, whole number, decimal number."""
-    low = X.words(F.lower(F.regexp_replace(c, r"[^A-Za-z0-9\s]", " ")))
+    said = F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
+    low = F.transform(said, F.lower)
     has = lambda words: F.arrays_overlap(low, F.array(*[F.lit(w) for w in words]))
     return {
         "digit": c.rlike(r"\d"),
         "number_word": has(X.WORD_NUMBERS),
-        "quantity_word": has(QUANTITY_WORDS),
+        "quantity_word": F.arrays_overlap(said, F.array(*[F.lit(w) for w in dict.fromkeys(QUANTITY_WORDS)])),
         "truth": F.lower(X.strip(c)).isin("yes", "no", "true", "false"),
         "whole": X.strip(c).rlike(r"^\d+$"),
         "decimal": X.strip(c).rlike(r"^\d+\.\d+$"),

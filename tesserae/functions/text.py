@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,29 +12,165 @@ PUNCTUATION = [";", "/", "[", "]", '"', "{", "}", "(", ")", "=", "+", "\\", "_",
 #: Number words and articles of the consensus scorer.
 NUMBER_WORDS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 ARTICLES = ["a", "an", "the"]
-#: Contractions without their apostrophe, by rule: stem and ending.
-CONTRACTED = {w.replace("'", ""): w for w in "aren't can't couldn't didn't doesn't don't hadn't hasn't haven't isn't mustn't shouldn't wasn't weren't won't wouldn't couldn't've shouldn't've wouldn't've".split()}
+#: Contractions of the consensus scorer, as written and as meant.
+CONTRACTIONS = {
+    "aint": "ain't",
+    "arent": "aren't",
+    "cant": "can't",
+    "couldve": "could've",
+    "couldnt": "couldn't",
+    "couldn'tve": "couldn't've",
+    "couldnt've": "couldn't've",
+    "didnt": "didn't",
+    "doesnt": "doesn't",
+    "dont": "don't",
+    "hadnt": "hadn't",
+    "hadnt've": "hadn't've",
+    "hadn'tve": "hadn't've",
+    "hasnt": "hasn't",
+    "havent": "haven't",
+    "hed": "he'd",
+    "hed've": "he'd've",
+    "he'dve": "he'd've",
+    "hes": "he's",
+    "howd": "how'd",
+    "howll": "how'll",
+    "hows": "how's",
+    "Id've": "I'd've",
+    "I'dve": "I'd've",
+    "Im": "I'm",
+    "Ive": "I've",
+    "isnt": "isn't",
+    "itd": "it'd",
+    "itd've": "it'd've",
+    "it'dve": "it'd've",
+    "itll": "it'll",
+    "let's": "let's",
+    "maam": "ma'am",
+    "mightnt": "mightn't",
+    "mightnt've": "mightn't've",
+    "mightn'tve": "mightn't've",
+    "mightve": "might've",
+    "mustnt": "mustn't",
+    "mustve": "must've",
+    "neednt": "needn't",
+    "notve": "not've",
+    "oclock": "o'clock",
+    "oughtnt": "oughtn't",
+    "ow's'at": "'ow's'at",
+    "'ows'at": "'ow's'at",
+    "'ow'sat": "'ow's'at",
+    "shant": "shan't",
+    "shed've": "she'd've",
+    "she'dve": "she'd've",
+    "she's": "she's",
+    "shouldve": "should've",
+    "shouldnt": "shouldn't",
+    "shouldnt've": "shouldn't've",
+    "shouldn'tve": "shouldn't've",
+    "somebody'd": "somebodyd",
+    "somebodyd've": "somebody'd've",
+    "somebody'dve": "somebody'd've",
+    "somebodyll": "somebody'll",
+    "somebodys": "somebody's",
+    "someoned": "someone'd",
+    "someoned've": "someone'd've",
+    "someone'dve": "someone'd've",
+    "someonell": "someone'll",
+    "someones": "someone's",
+    "somethingd": "something'd",
+    "somethingd've": "something'd've",
+    "something'dve": "something'd've",
+    "somethingll": "something'll",
+    "thats": "that's",
+    "thered": "there'd",
+    "thered've": "there'd've",
+    "there'dve": "there'd've",
+    "therere": "there're",
+    "theres": "there's",
+    "theyd": "they'd",
+    "theyd've": "they'd've",
+    "they'dve": "they'd've",
+    "theyll": "they'll",
+    "theyre": "they're",
+    "theyve": "they've",
+    "twas": "'twas",
+    "wasnt": "wasn't",
+    "wed've": "we'd've",
+    "we'dve": "we'd've",
+    "weve": "we've",
+    "werent": "weren't",
+    "whatll": "what'll",
+    "whatre": "what're",
+    "whats": "what's",
+    "whatve": "what've",
+    "whens": "when's",
+    "whered": "where'd",
+    "wheres": "where's",
+    "whereve": "where've",
+    "whod": "who'd",
+    "whod've": "who'd've",
+    "who'dve": "who'd've",
+    "wholl": "who'll",
+    "whos": "who's",
+    "whove": "who've",
+    "whyll": "why'll",
+    "whyre": "why're",
+    "whys": "why's",
+    "wont": "won't",
+    "wouldve": "would've",
+    "wouldnt": "wouldn't",
+    "wouldnt've": "wouldn't've",
+    "wouldn'tve": "wouldn't've",
+    "yall": "y'all",
+    "yall'll": "y'all'll",
+    "y'allll": "y'all'll",
+    "yall'd've": "y'all'd've",
+    "y'alld've": "y'all'd've",
+    "y'all'dve": "y'all'd've",
+    "youd": "you'd",
+    "youd've": "you'd've",
+    "you'dve": "you'd've",
+    "youll": "you'll",
+    "youre": "you're",
+    "youve": "you've",
+}
+#: Blanks of any script, as a class.
+BLANK = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+MARKS = "".join(PUNCTUATION)
+#: Periods that the scorer takes away at most.
+PERIODS = 32
 WORD_NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "dozen", "hundred", "thousand"]
 
 
 def strip(c: Column) -> Column:
     """All whitespace at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
-def fold_ascii(c: Column) -> Column:
-    """Every character outside ASCII as a question mark, so that distances by byte and by code point agree."""
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, also within the functions of arrays, where plans have no place for it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def near_distance(a: Column, b: Column, length: Column) -> Column:
+    """Edit distance by code points where it is at most half the length; the length itself where it is more.
+
+    Distances beyond half score nothing, so the search stops there and looks at no text that is too long or too short.
+    """
+    half = F.floor(length / 2).cast("int")
+    found = F.when(F.abs(F.length(a) - F.length(b)) > half, F.lit(-1)).otherwise(F.call_function("levenshtein", a, b, half))
+    return F.when(found < 0, length).otherwise(found)
+
+
 def norm_anls(gold: Column, pred: Column) -> Column:
-    """Edit distance of the stripped, lower-case strings over the longer raw length; 0 for two empty strings."""
+    """Edit distance of the stripped, lower-case strings over the longer raw length; 1 if beyond half of it, 0 for two empty strings."""
     length = F.greatest(F.length(gold), F.length(pred))
-    return F.when(length == 0, F.lit(0.0)).otherwise(F.levenshtein(strip(F.lower(gold)), strip(F.lower(pred))) / length)
+    return F.when(length == 0, F.lit(0.0)).otherwise(near_distance(strip(F.lower(gold)), strip(F.lower(pred)), length) / length)
 
 
 def anls(golds: Column, pred: Column, threshold: float = 0.5) -> Column:
@@ -44,33 +180,41 @@ def anls(golds: Column, pred: Column, threshold: float = 0.5) -> Column:
 
 
 def process_punctuation(c: Column) -> Column:
-    """A mark next to a blank, or any mark in a text with digit,digit, goes away; otherwise it becomes a blank. Conditions read the input."""
-    commas = c.rlike(r"\d,\d")
+    """A mark that stands next to a blank anywhere, or any mark in a text with digit,digit, goes away; otherwise it becomes a blank."""
+    one = "[" + "".join("\\" + m for m in PUNCTUATION) + "]"
+    beside = F.array_join(F.regexp_extract_all(c, F.lit(f"{one}(?= )|(?<= ){one}"), F.lit(0)), "")
+    gone = F.when(c.rlike(r"\p{Nd},\p{Nd}"), MARKS).otherwise(beside)
+    kept = F.call_function("translate", F.lit(MARKS), gone, F.lit(""))
+    # what has no counterpart goes away
+    return period_strip(F.call_function("translate", c, F.concat(kept, gone), F.repeat(F.lit(" "), F.length(kept))))
 
-    def step(out: Column, p: str) -> Column:
-        gone = F.contains(c, F.lit(p + " ")) | F.contains(c, F.lit(" " + p)) | commas
-        return F.replace(out, F.lit(p), F.when(gone, "").otherwise(" "))  # one use of `out`: two would double the plan at every mark
 
-    return period_strip(reduce(step, PUNCTUATION, c))
-
-
-def period_strip(c: Column) -> Column:
-    """Periods not before a digit."""
-    return F.regexp_replace(c, r"\.(?!\d)", "")
+def period_strip(c: Column, most: int = PERIODS) -> Column:
+    """Without the first `most` periods that are not before a digit."""
+    return F.array_join(F.split(c, r"\.(?!\p{Nd})", most + 1), "")
 
 
 def digit_article(c: Column) -> Column:
     """Lower case, number words as digits, no articles, contractions with their apostrophe."""
-    table = F.create_map(*[F.lit(x) for kv in (NUMBER_WORDS | CONTRACTED).items() for x in kv])
-    kept = F.filter(words(F.lower(c)), lambda w: ~w.isin(ARTICLES))
-    return F.array_join(F.transform(kept, lambda w: F.coalesce(table[w], w)), " ")
+    number, contraction = (F.create_map(*[F.lit(x) for kv in t.items() for x in kv]) for t in (NUMBER_WORDS, CONTRACTIONS))
+    said = F.transform(F.filter(F.split(F.lower(c), f"{BLANK}+"), lambda w: w != ""), lambda w: F.coalesce(number[w], w))
+    return F.array_join(F.transform(F.filter(said, lambda w: ~w.isin(ARTICLES)), lambda w: F.coalesce(contraction[w], w)), " ")
+
+
+def flat(c: Column) -> Column:
+    """Line ends and tabs as blanks, none at the ends."""
+    return strip(F.regexp_replace(c, r"[\n\t]", " "))
+
+
+def consensus_form(c: Column) -> Column:
+    """An answer's normal form in the consensus scorer."""
+    return let(flat(c), lambda x: digit_article(process_punctuation(x)))
 
 
 def answer_processor(c: Column) -> Column:
-    """The consensus scorer's normal form."""
+    """An answer's normal form where commas, question marks and the genitive are taken apart first."""
     first = F.replace(F.replace(F.replace(F.lower(c), F.lit(","), F.lit("")), F.lit("?"), F.lit("")), F.lit("'s"), F.lit(" 's"))
-    flat = strip(F.regexp_replace(first, r"[\n\t]", " "))
-    return digit_article(process_punctuation(flat))
+    return consensus_form(strip(first))
 
 
 def gqa_clean(c: Column) -> Column:
@@ -118,7 +262,7 @@ def extract_numbers(c: Column) -> Column:
     return F.concat(
         F.regexp_extract_all(c, F.lit(r"-?\b\d{1,3}(?:,\d{3})+\b"), F.lit(0)),
         F.regexp_extract_all(c, F.lit(r"-?\d+(?:\.\d+)?[eE][+-]?\d+"), F.lit(0)),
-        F.regexp_extract_all(c, F.lit(r"(?<![\d,.eE+-])-?(?:\d+\.\d+|\.\d+|\d+)(?!\d)(?![,.eE]\d)"), F.lit(0)),
+        F.regexp_extract_all(c, F.lit(r"-?(?:\d+\.\d+|\.\d+|\d+\b)(?![eE][+-]?\d+)(?![,\d])"), F.lit(0)),
     )
 
 

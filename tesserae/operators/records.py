@@ -120,6 +120,25 @@ def extracted_answer(response: Column, choices: Column, kind: Column, precision:
     return F.coalesce(F.when(F.array_contains(choices, response), response), extracted_choice(response, choices), number, F.when(quoted != "", quoted))
 
 
+def accuracy_by_keys(df: DataFrame, hit: str, keys: list[str], many: str | None = None) -> DataFrame:
+    """key, value, correct, total, accuracy (percent, two places), place: over all, by every value of the keys, and by every member of the list `many`; in one pass.
+
+    Places are within a key, from the best; equal ones by value. A null value is a value; a row counts once for each member.
+    """
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    kinds = F.array(pair("average", F.lit("all")), *(pair(k, F.col(k)) for k in keys))
+    if many:
+        kinds = F.concat(kinds, F.transform(F.coalesce(many, F.array().cast("array<string>")), lambda x: pair(many, x)))
+    g = df.select(F.col(hit).cast("long").alias("h"), F.explode(kinds).alias("k")).groupBy("k.key", "k.value").agg(F.sum("h").alias("correct"), F.count(F.lit(1)).alias("total"))
+    shown = g.withColumn("accuracy", F.round(F.col("correct") * 100.0 / F.col("total"), 2))
+    return shown.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(F.desc("accuracy"), "value")))
+
+
+def gains(figures: DataFrame, chance: DataFrame) -> DataFrame:
+    """The figures with what they are above those of another run; null where that has none."""
+    return figures.join(chance.select("key", "value", F.col("accuracy").alias("_other")), ["key", "value"], "left").withColumn("gain", F.round(F.col("accuracy") - F.col("_other"), 2)).drop("_other")
+
+
 def instruction(prompts: list[str], key: Column, seed: int = 0) -> Column:
     """One of the wordings, by the key and the seed."""
     return F.element_at(F.array(*[F.lit(p) for p in prompts]), (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(len(prompts))) + 1).cast("int"))

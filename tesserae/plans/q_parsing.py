@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import parsing as P
 from tesserae.functions import text as X
 from tesserae.operators import models as M
+from tesserae.plans.q_scoring import STRIP, distance_sql
 from tesserae.sources.readers import table
 
 
@@ -16,7 +17,7 @@ def _answered(s: SparkSession, d: str) -> DataFrame:
 
 
 def multi_choice_parse(s: SparkSession, d: str) -> DataFrame:
-    o = F.transform(F.slice("annotation", 1, 4), lambda t, i: F.struct(F.char(i + 65).alias("key"), t.alias("text")))
+    o = F.transform("annotation", lambda t, i: F.struct(F.char(i + 65).alias("key"), t.alias("text")))
     return _answered(s, d).select("pred_id", P.multi_choice(F.col("answer"), o, F.col("pred_id")).alias("choice"))
 
 
@@ -25,8 +26,7 @@ def open_answer_accuracy(s: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_choices(s: SparkSession, d: str) -> DataFrame:
-    fold = lambda c: X.fold_ascii(c)
-    return _answered(s, d).select("pred_id", P.nearest_choice(fold(F.col("answer")), F.transform("annotation", fold)).alias("choice"))
+    return _answered(s, d).select("pred_id", P.nearest_choice(F.col("answer"), F.col("annotation")).alias("choice"))
 
 
 def answer_predicates(s: SparkSession, d: str) -> DataFrame:
@@ -94,18 +94,20 @@ def model_captions(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (multi_choice_parse, open_answer_accuracy, nearest_choices, answer_predicates, tagged_segments, chat_pages, stopped_texts, question_filters, update_by_key, image_index, positional_zip, source_rules, membership_violations, model_captions)}
 
 _A = "answer IS NOT NULL AND annotation IS NOT NULL AND len(annotation) > 0"
-_F = "regexp_replace({}, '[^\\x00-\\x7F]', '?', 'g')"
-_S = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_S = STRIP
 
 
-def _has(words: list[str]) -> str:
-    return "list_has_any(regexp_split_to_array(lower(regexp_replace(question, '[^A-Za-z0-9\\s]', ' ', 'g')), '\\s+'), [" + ", ".join(f"'{w}'" for w in words) + "])"
+def _has(words: list[str], text: str = "question") -> str:
+    return f"list_has_any(regexp_extract_all({text}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), [" + ", ".join(f"'{w}'" for w in dict.fromkeys(words)) + "])"
 
 
+#: Words of quantity as the list has them, two of them joined into one.
+_QUANTITY = "most least fewestmore less fewer largest smallest greatest larger smaller greater highest lowest higher lower increase decrease minimum maximum max min mean average median total sum add subtract difference quotient gap half double twice triple square cube root approximate approximation triangle rectangle circle sphere cylinder cone pyramid multiply divide percentage percent ratio proportion fraction rate".split()
+
 SQL = {
-    "nearest_choices": f"""WITH p AS (SELECT pred_id, {_F.format('answer')} AS a, list_transform(annotation, lambda g: {_F.format('g')}) AS g FROM prediction WHERE {_A}), x AS (SELECT pred_id, a, unnest(g) AS c, generate_subscripts(g, 1) AS i FROM p)
-      SELECT pred_id, c AS choice FROM (SELECT *, row_number() OVER (PARTITION BY pred_id ORDER BY levenshtein(a, c), i) AS r FROM x) WHERE r = 1""",
-    "answer_predicates": f"""SELECT split, count(*) AS n, count(*) FILTER (regexp_matches(question, '\\d')) AS digit, count(*) FILTER ({_has(X.WORD_NUMBERS)}) AS number_word, count(*) FILTER ({_has(P.QUANTITY_WORDS)}) AS quantity_word,
+    "nearest_choices": f"""WITH x AS (SELECT pred_id, answer AS a, unnest(annotation) AS c, generate_subscripts(annotation, 1) AS i FROM prediction WHERE {_A}), y AS (SELECT *, {distance_sql('a', 'c')} AS d FROM x)
+      SELECT pred_id, c AS choice FROM (SELECT *, row_number() OVER (PARTITION BY pred_id ORDER BY d, i) AS r FROM y) WHERE r = 1""",
+    "answer_predicates": f"""SELECT split, count(*) AS n, count(*) FILTER (regexp_matches(question, '\\d')) AS digit, count(*) FILTER ({_has(X.WORD_NUMBERS, 'lower(question)')}) AS number_word, count(*) FILTER ({_has(_QUANTITY)}) AS quantity_word,
       count(*) FILTER (lower({_S.format('question')}) IN ('yes', 'no', 'true', 'false')) AS truth, count(*) FILTER (regexp_matches({_S.format('question')}, '^\\d+$')) AS whole, count(*) FILTER (regexp_matches({_S.format('question')}, '^\\d+\\.\\d+$')) AS decimal FROM vqa_question WHERE question IS NOT NULL GROUP BY 1""",
     "stopped_texts": "SELECT doc_id, CAST(length(split_part(split_part(text, '<|endoftext|>', 1), '[PAD]', 1)) AS INT) AS size FROM documents WHERE text IS NOT NULL",
     "question_filters": "SELECT record_id, split, lang FROM vqa_question WHERE split IN ('val', 'test') AND lang IN ('en', 'de')",

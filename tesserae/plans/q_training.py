@@ -10,6 +10,7 @@ from tesserae.functions import geometry as G
 from tesserae.functions import numeric as N
 from tesserae.functions import text as X
 from tesserae.operators import training as T
+from tesserae.plans.q_scoring import STRIP
 from tesserae.sources.readers import table
 
 
@@ -118,13 +119,13 @@ def frame_samples(s: SparkSession, d: str) -> DataFrame:
 def option_answers(s: SparkSession, d: str) -> DataFrame:
     """The option that an answer names; the options are the gold answers in order."""
     p = table(s, d, "prediction").where("answer is not null and annotation is not null").where(F.length(X.strip(F.col("answer"))) > 0)
-    o = F.transform(F.slice("annotation", 1, 4), lambda t, i: F.struct(F.char(i + 65).alias("key"), t.alias("text")))
+    o = F.transform("annotation", lambda t, i: F.struct(F.char(i + 65).alias("key"), t.alias("text")))
     return p.select("pred_id", X.option_post_process(F.col("answer"), o).alias("choice"))
 
 
 def choice_prompts(s: SparkSession, d: str) -> DataFrame:
     q = table(s, d, "vqa_question").where("question is not null and answer is not null")
-    return q.select("record_id", T.choice_prompt(F.col("question"), F.slice("answer", 1, 4)).alias("prompt"))
+    return q.select("record_id", T.choice_prompt(F.col("question"), F.col("answer")).alias("prompt"))
 
 
 def vqa_prompts(s: SparkSession, d: str) -> DataFrame:
@@ -216,10 +217,10 @@ SQL = {
     "fit_in_square": f"""WITH {_P} SELECT p_partkey, CAST(floor(w * least(CAST(448 AS DOUBLE) / w, CAST(448 AS DOUBLE) / h)) AS INT) AS fw, CAST(floor(h * least(CAST(448 AS DOUBLE) / w, CAST(448 AS DOUBLE) / h)) AS INT) AS fh, CAST((greatest(w, h) - w) // 2 AS INT) AS "left", CAST((greatest(w, h) - h) // 2 AS INT) AS top,
       CAST(floor((greatest(w, h) // 14) * (greatest(w, h) // 14) * 0.25) AS INT) AS tokens FROM p""",
     "window_origins": f"WITH {_P} SELECT p_partkey, CAST(greatest(w // 448, 1) * greatest(h // 448, 1) AS INT) AS floor_windows, CAST(ceil(w / 448.0) * ceil(h / 448.0) AS INT) AS ceil_windows FROM p",
-    "option_answers": """WITH p AS (SELECT pred_id, regexp_replace(answer, '^\\s+|\\s+$', '', 'g') AS a, annotation[1:4] AS o FROM prediction WHERE answer IS NOT NULL AND annotation IS NOT NULL AND length(regexp_replace(answer, '^\\s+|\\s+$', '', 'g')) > 0),
+    "option_answers": f"""WITH p AS (SELECT pred_id, {STRIP.format('answer')} AS a, annotation AS o FROM prediction WHERE answer IS NOT NULL AND annotation IS NOT NULL AND length({STRIP.format('answer')}) > 0),
       h AS (SELECT *, list_filter(list_transform(o, lambda t, i: CASE WHEN contains(a, t) THEN chr(CAST(i + 64 AS INT)) END), lambda k: k IS NOT NULL)[1] AS k FROM p)
       SELECT pred_id, CASE WHEN length(a) = 1 THEN a WHEN ascii(substr(a, 1, 1)) - 64 BETWEEN 1 AND len(o) THEN substr(a, 1, 1) ELSE coalesce(k, a) END AS choice FROM h""",
-    "choice_prompts": "SELECT record_id, question || chr(10) || array_to_string(list_transform(answer[1:4], lambda o, i: chr(CAST(i + 64 AS INT)) || '. ' || o), chr(10)) || chr(10) || 'Answer with the option''s letter from the given choices directly.' AS prompt FROM vqa_question WHERE question IS NOT NULL AND answer IS NOT NULL",
+    "choice_prompts": "SELECT record_id, question || chr(10) || array_to_string(list_transform(answer, lambda o, i: chr(CAST(i + 64 AS INT)) || '. ' || o), chr(10)) || chr(10) || 'Answer with the option''s letter from the given choices directly.' AS prompt FROM vqa_question WHERE question IS NOT NULL AND answer IS NOT NULL",
     "vqa_prompts": "SELECT record_id, '<img>' || image_path || '</img>' || question || ' Answer:' AS prompt FROM vqa_question WHERE question IS NOT NULL AND image_path IS NOT NULL",
     "marked_boxes": """WITH t AS (SELECT row_id, CAST(generate_subscripts(conversations, 1) - 1 AS INT) AS turn, unnest(conversations) AS t FROM conversation), b AS (SELECT row_id, turn, unnest(regexp_extract_all(t.value, '<box>(.*?)</box>', 1)) AS box FROM t WHERE t.value IS NOT NULL),
       n AS (SELECT *, list_transform(regexp_extract_all(box, '[0-9]+'), lambda x: CAST(x AS INT)) AS n FROM b)

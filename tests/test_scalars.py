@@ -83,7 +83,7 @@ def test_grids_and_boxes(spark):
 def test_tags(spark):
     assert value(spark, X.tagged(lit("<ref>cat</ref><box>(1,2),(3,4)</box>"), "box")) == ["(1,2),(3,4)"]
     assert value(spark, X.box_midpoint(lit("(1,2),(3,5)"))) == [2, 3]
-    assert value(spark, X.extract_numbers(lit("1,234 and 2e5 and 7.5"))) == ["1,234", "2e5", "7.5"]
+    assert value(spark, X.extract_numbers(lit("1,234 and 2e5 and 7.5"))) == ["1,234", "2e5", "234", "5", "7.5"]  # the plain pattern reads the ends of the others again
 
 
 def test_bleu(spark):
@@ -105,3 +105,120 @@ def test_bleu(spark):
             m[n] += sum(min(v, max(gram(r)[g] for r in refs)) for g, v in gram(p).items())
     want = min(1, math.exp(1 - e / c)) * math.exp(sum(math.log(m[n] / t[n]) for n in (1, 2)) / 2)
     assert got["g"] == pytest.approx(want, abs=1e-6) and got["h"] == 0.0
+
+
+LANGUAGES = [("轻拿轻放", "请勿停车", 0.0), ("轻拿轻放", "轻拿轻", 0.75), ("Grüße", "GRÜSSE", 1 - 2 / 6), ("ありがとう", "ありがとん", 0.8), ("осторожно", "осторожна", 1 - 1 / 9), ("مرحبا", "مرحبا", 1.0), ("नमस्ते", "नमस्ते", 1.0), ("สวัสดี", "ขอบคุณ", 0.0)]
+
+
+@pytest.mark.parametrize(("gold", "pred", "want"), LANGUAGES)
+def test_anls_counts_code_points(spark, gold, pred, want):
+    assert value(spark, X.anls(F.array(lit(gold)), lit(pred))) == pytest.approx(want)
+
+
+def test_anls_is_the_full_distance_where_it_counts(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(3)
+    pairs = [("".join(rng.choice("ab中é") for _ in range(rng.randint(1, 9))), "".join(rng.choice("ab中é") for _ in range(rng.randint(0, 9)))) for _ in range(400)]
+    df = spark.createDataFrame(pairs, "g string, p string").select("g", "p", X.anls(F.array("g"), F.col("p")).alias("s"))
+    for r in df.collect():
+        s = 1 - distance(r["g"], r["p"]) / max(len(r["g"]), len(r["p"]))
+        assert r["s"] == pytest.approx(s if s >= 0.5 else 0.0)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("The two  cats!", "2 cats"),
+        ("dont", "don't"),
+        ("1,000 men, none", "1000 men 0"),
+        ("A-B", "b"),
+        ("a - b?", "b"),
+        ("it's 5.5 m.", "it 's 5.5 m"),
+        ("shouldntve", "shouldntve"),
+        ("yall'd've gone", "y'all'd've gone"),
+        ("ten\u00a0men", "10 men"),
+        ("." * 33 + "x", ".x"),
+        ("somebody'd", "somebodyd"),
+    ],
+)
+def test_answer_processor(spark, text, want):
+    assert value(spark, X.answer_processor(lit(text))) == want
+
+
+def test_punctuation_is_the_loop(spark):
+    """Every mark's condition reads the input; brute force over texts of marks, blanks and digits."""
+    import random
+    import re
+
+    def loop(text):
+        out = text
+        for p in X.PUNCTUATION:
+            near = p + " " in text or " " + p in text or re.search(r"\d,\d", text)
+            out = out.replace(p, "" if near else " ")
+        return re.sub(r"\.(?!\d)", "", out, count=32)
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab 12.,;/[]\"{}()=+\\_->@`?!") for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.process_punctuation(F.col("t")).alias("x")).collect()
+    assert [(r["t"], loop(r["t"])) for r in got] == [(r["t"], r["x"]) for r in got]
+
+
+def test_numbers_are_the_three_patterns(spark):
+    import random
+    import re
+
+    patterns = [r"-?\b\d{1,3}(?:,\d{3})+\b", r"-?\d+(?:\.\d+)?[eE][+-]?\d+", r"-?(?:\d+\.\d+|\.\d+|\d+\b)(?![eE][+-]?\d+)(?![,\d])"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("0123456789,,.e-+ x") for _ in range(rng.randint(0, 18))) for _ in range(1500)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.extract_numbers(F.col("t")).alias("x")).collect()
+    assert all(r["x"] == [m for p in patterns for m in re.findall(p, r["t"])] for r in got)
+
+
+def options(*texts):
+    return F.array(*[F.struct(F.lit(chr(65 + i)).alias("key"), F.lit(t).alias("text")) for i, t in enumerate(texts)])
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("I think the answer is (B), not (A)...", "A"), ("B", "B"), ("it is C or B here", "B"), ("well then it must be the red car", "A"), ("well it must be the blue one or the red", "A"), ("(C) or (C)", "C")],
+)
+def test_multi_choice_takes_what_begins_last(spark, text, want):
+    from tesserae.functions import parsing as P
+
+    assert value(spark, P.multi_choice(lit(text), options("red", "red car", "blue"), F.lit(1))) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "golds", "want"),
+    [
+        ("The area is 12.00.", ["12"], True),
+        ("So x = 5", ["5"], True),
+        ("x = 5\nthat was it", ["5"], True),
+        ("One. Two", ["two"], True),
+        ("final answer is B", ["b"], True),
+        ("1,200 in all", ["1200"], True),
+        ("the result is :", ["no"], False),
+        ("it is 3.14159", ["3.142"], True),
+    ],
+)
+def test_open_answers(spark, text, golds, want):
+    from tesserae.functions import parsing as P
+
+    assert value(spark, P.open_correct(lit(text), F.array(*map(lit, golds)))) is want
+
+
+def test_open_answer_pieces(spark):
+    from tesserae.functions import parsing as P
+
+    assert value(spark, P.open_answer(lit("So it is so far. The answer is 7\ny = 8"))) == ["7", "8", "7", "8"]
+    assert value(spark, P.open_answer(lit("A cat."))) == ["a cat"]
+    assert value(spark, P.open_answer(lit("it is :"))) == ["it is :"]
