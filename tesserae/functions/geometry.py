@@ -68,6 +68,49 @@ def tile_boxes(columns: Column, rows: Column, size: int = 448) -> Column:
     return F.transform(F.sequence(F.lit(0), columns * rows - 1), lambda k: F.array((k % columns) * size, F.floor(k / columns).cast("int") * size, (k % columns + 1) * size, (F.floor(k / columns).cast("int") + 1) * size))
 
 
+def with_thumbnail(boxes: Column, w: Column, h: Column) -> Column:
+    """The tiles and, where there are several, the whole picture behind them."""
+    return F.when(F.size(boxes) > 1, F.concat(boxes, F.array(F.array(F.lit(0), F.lit(0), w.cast("int"), h.cast("int"))))).otherwise(boxes)
+
+
+def second_grid(w: Column, h: Column, first: Column, candidates: list[tuple[int, int]], both: bool = True, size: int = 448) -> Column:
+    """The nearest grid that doesn't divide the first: no side of it (as in training), or not both (as in use); 1 by 1 without any."""
+    ratio, area = w / h, w * h
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in candidates])
+    apart = lambda g: (first["columns"] % g["i"] != 0, first["rows"] % g["j"] != 0)
+    left = F.filter(each, lambda g: apart(g)[0] & apart(g)[1] if both else apart(g)[0] | apart(g)[1])
+    start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit(float("inf")).alias("d"))
+
+    def fold(best: Column, g: Column) -> Column:
+        d = F.abs(ratio - g["i"] / g["j"])
+        take = (d < best["d"]) | ((d == best["d"]) & (area > 0.5 * size * size * g["i"] * g["j"]))
+        return F.when(take, F.struct(g["i"].alias("i"), g["j"].alias("j"), d.alias("d"))).otherwise(best)
+
+    return F.aggregate(left, start, fold, lambda b: F.struct(b["i"].alias("columns"), b["j"].alias("rows")))
+
+
+def windows(w: Column, h: Column, size: int, step: int, partial: bool = False) -> Column:
+    """Left and upper edges of sliding windows, row by row; whole ones only, or also those that the picture ends within."""
+    count = lambda n: (F.ceil(n / step) if partial else F.floor((n - size) / step) + 1).cast("int")
+    edges = lambda n: F.when(count(n) > 0, F.transform(F.sequence(F.lit(0), F.greatest(count(n), F.lit(1)) - 1), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(edges(h), lambda y: F.transform(edges(w), lambda x: F.struct(x.alias("left"), y.alias("top")))))
+
+
+def reassembled(tiles: Column, columns: Column) -> Column:
+    """Rows of tiles from a list of them, row by row."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(tiles) - 1) / columns).cast("int")), lambda r: F.slice(tiles, (r * columns + 1).cast("int"), columns))
+
+
+def longest_side(b: Column, w: Column, h: Column, side: float = 720.0) -> Column:
+    """A box in a picture whose longer side becomes `side`."""
+    return F.transform(b, lambda x: x * side / F.greatest(w, h))
+
+
+def grid_to_pixels(b: Column, w: Column, h: Column, grid: int = 1000) -> Column:
+    """From a grid of 0..1000 to whole pixels, cut off."""
+    return F.transform(b, lambda x, i: F.floor(x / grid * F.when(i % 2 == 0, w).otherwise(h)).cast("int"))
+
+
 def fit_in_square(w: Column, h: Column, side: int) -> Column:
     """Sizes after scaling by the smaller of the two ratios, cut to whole numbers."""
     scale = F.least(F.lit(side) / w, F.lit(side) / h)

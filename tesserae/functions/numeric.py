@@ -51,3 +51,37 @@ def middle_frames(frames: Column, wanted: int) -> Column:
     """The middle frame of each of `wanted` intervals with whole ends."""
     edge = lambda i: F.floor(frames * i / wanted)
     return F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda i: F.floor((edge(i) + F.greatest(edge(i + 1) - 1, edge(i))) / 2).cast("int"))
+
+
+def frame_indices(frames: Column, wanted: int, mode: str = "middle", start: int | None = None, seed: Column | None = None) -> Column:
+    """One frame of each of `wanted` intervals with whole ends: the middle one, one at a fixed place, or one by the seed.
+
+    A shorter video has as many intervals as frames, and its last frame again for the rest.
+    """
+    n = F.least(F.lit(wanted), frames)
+    edge = lambda i: F.floor(frames * i / n).cast("int")
+
+    def one(i: Column) -> Column:
+        low, high = edge(i), edge(i + 1) - 1
+        if start is not None and mode != "rand":
+            return low + start
+        if mode == "rand":  # of an interval of one frame that frame
+            return low + F.pmod(F.xxhash64(seed, i), F.greatest(high - low, F.lit(1))).cast("int")
+        return F.floor((low + high) / 2).cast("int")
+
+    taken = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), one)
+    return F.concat(taken, F.array_repeat(F.element_at(taken, -1), F.lit(wanted) - F.size(taken)))
+
+
+def frames_per_second(frames: Column, input_fps: Column, fps: float, most: int = -1) -> Column:
+    """The frame in the middle of every clip of 1 / fps seconds, half-even; at most `most`."""
+    delta = 1.0 / fps
+    clips = F.greatest(F.ceil(frames / input_fps / delta).cast("int"), F.lit(1))
+    at = F.transform(F.sequence(F.lit(0), clips - 1), lambda i: F.rint((F.lit(delta / 2) + i * delta) * input_fps).cast("int"))
+    within = F.filter(at, lambda x: x < frames)
+    return F.slice(within, 1, most) if most > 0 else within
+
+
+def two_places(c: Column) -> Column:
+    """A figure as text with two places."""
+    return F.format_string("%.2f", c.cast("double"))

@@ -182,3 +182,55 @@ def cut_at_stop(c: Column, stops: list[str]) -> Column:
     for s in stops:
         c = F.substring_index(c, s, 1)
     return c
+
+
+def first_box(c: Column) -> Column:
+    """Four numbers of the first [a,b,c,d], in one or two brackets; zeros where there is none or one isn't a number."""
+    parts = F.array(*[F.regexp_extract(c, r"\[*\[(.*?),(.*?),(.*?),(.*?)\]\]*", i) for i in (1, 2, 3, 4)])
+    numbers = F.transform(parts, lambda x: F.when(x.rlike(NUMBER), F.trim(x).try_cast("double")))
+    return F.when(F.forall(numbers, lambda x: x.isNotNull()), numbers).otherwise(F.array(*[F.lit(0.0)] * 4))
+
+
+def boxes_with_ref(parts: Column) -> Column:
+    """box (four whole numbers) and ref of every box of a segmented text; the ref is what the piece just before it names."""
+    at = F.transform(parts, lambda p, i: F.struct(p.alias("p"), F.when(i > 0, F.try_element_at(parts, i)).alias("before")))
+    boxes = F.filter(at, lambda x: x["p"]["kind"] == "box")
+    whole = lambda v: F.transform(F.split(F.regexp_replace(v, "[()]", ""), ","), lambda n: F.trim(n).try_cast("int"))
+    return F.transform(boxes, lambda x: F.struct(whole(x["p"]["value"]).alias("box"), F.when(x["before"]["kind"] == "ref", X.strip(x["before"]["value"])).alias("ref")))
+
+
+def latest_picture(turns: Column) -> Column:
+    """The last picture of a conversation's segmented texts, from the last turn back."""
+    return F.try_element_at(F.filter(F.flatten(turns), lambda p: p["kind"] == "image")["value"], F.lit(-1))
+
+
+def normalised_extraction(extraction: Column, choices: Column, question_type: Column, answer_type: Column, precision: int = 2) -> Column:
+    """An extracted answer in the form of its kind: a choice by letter or the nearest one, a whole or rounded number, or null."""
+    text = X.strip(F.coalesce(extraction, F.lit("None")))
+    letter = F.regexp_extract(text, r"\(([a-zA-Z])\)", 1)
+
+    def chosen(t: Column) -> Column:
+        at = F.when(F.length(t) == 1, F.ascii(t) - 64)
+        return F.when(at.between(1, F.size(choices)), F.try_element_at(choices, at)).otherwise(nearest_choice(t, choices))
+
+    value = F.when(extraction.rlike(NUMBER), F.trim(extraction).try_cast("double"))
+    shown = F.bround(value, precision).cast("string")
+    return (
+        F.when(question_type == "multi_choice", X.let(F.when(letter != "", F.upper(letter)).otherwise(text), chosen))
+        .when(answer_type == "integer", value.cast("long").cast("string"))
+        .when(answer_type == "float", shown)
+        .otherwise(extraction)
+    )
+
+
+def letter_options(options: Column) -> Column:
+    """The two options of `(a) one (b) two`."""
+    parts = F.split(options, r"\(b\)")
+    return F.array(X.strip(F.replace(parts[0], F.lit("(a)"), F.lit(""))), X.strip(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))))
+
+
+def letters(answer: Column) -> Column:
+    """(a) to (d) as A to D."""
+    for a, b in zip("abcd", "ABCD", strict=True):
+        answer = F.replace(answer, F.lit(f"({a})"), F.lit(b))
+    return answer

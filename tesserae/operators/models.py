@@ -49,20 +49,55 @@ def match_scores(df: DataFrame, load: Callable[[], Model] | None = None) -> Data
     return apply(df.select("img_id", "caption"), load or (lambda: lambda b: b.assign(score=[crc32(f"{i}{c}".encode()) % 1000 / 1000 for i, c in zip(b["img_id"], b["caption"], strict=True)])), "img_id string, caption string, score double")
 
 
-def answers(df: DataFrame, load: Callable[[], Model] | None = None, tries: int = 3) -> DataFrame:
-    """prompt -> prompt, answer; a batch that fails is tried again, and then answered with null."""
+class Unavailable(Exception):
+    """What a service raises when asking again may help."""
+
+
+def answers(df: DataFrame, load: Callable[[], Model] | None = None, tries: int = 3, wait: float = 0.0) -> DataFrame:
+    """prompt and any other columns -> and answer; a batch that the service is not available for is asked again, each time after twice the wait, and then answered with null.
+
+    Any other error is the caller's to see.
+    """
+    import time
 
     def stubborn():
         model = (load or (lambda: lambda b: b.assign(answer=["answer to " + p[:40] for p in b["prompt"]])))()
 
         def run(b: pd.DataFrame) -> pd.DataFrame:
-            for _ in range(tries):
+            for k in range(tries):
                 try:
                     return model(b)
-                except Exception:  # noqa: BLE001, S112 the service's own errors
-                    continue
+                except Unavailable:
+                    time.sleep(wait * 2**k)
             return b.assign(answer=None)
 
         return run
 
-    return apply(df.select("prompt").where("prompt is not null"), stubborn, "prompt string, answer string")
+    rows = df.where("prompt is not null")
+    return apply(rows, stubborn, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "answer") + ", answer string")
+
+
+def masks(df: DataFrame, load: Callable[[], Model] | None = None) -> DataFrame:
+    """img_id -> rows of img_id, area, bbox (left, top, width, height), predicted_iou, stability_score."""
+
+    def fake():
+        def run(b: pd.DataFrame) -> pd.DataFrame:
+            rows = [(x, 100 * (k + 1), [k, k, 10 * (k + 1), 10], 0.9, 0.95) for x in b["img_id"] for k in range(crc32(str(x).encode()) % 4)]
+            return pd.DataFrame(rows, columns=["img_id", "area", "bbox", "predicted_iou", "stability_score"])
+
+        return run
+
+    return apply(df.select("img_id"), load or fake, "img_id string, area long, bbox array<int>, predicted_iou double, stability_score double")
+
+
+def text_lines(df: DataFrame, load: Callable[[], Model] | None = None) -> DataFrame:
+    """img_id -> rows of img_id, line, score; a picture without lines has no row, and a line that is null is dropped."""
+
+    def fake():
+        def run(b: pd.DataFrame) -> pd.DataFrame:
+            rows = [(x, f"line {k}" if k % 3 != 2 else None, 1.0 / (k + 1)) for x in b["img_id"] for k in range(crc32(str(x).encode()) % 4)]
+            return pd.DataFrame(rows, columns=["img_id", "line", "score"])
+
+        return run
+
+    return apply(df.select("img_id"), load or fake, "img_id string, line string, score double").where("line is not null")

@@ -99,10 +99,13 @@ def quarantined(df: DataFrame, good: Column, key: str, seed: int = 0) -> tuple[D
 
 
 def estimated_lengths(df: DataFrame, key: str, text: str, tokens: Column, image_tokens: int) -> DataFrame:
-    """Length by the string length's first row, without the image's tokens for that row itself, as the sampler keeps it."""
-    w = W.partitionBy(F.length(text)).orderBy(key)
-    first = F.row_number().over(w) == 1
-    return df.withColumn("estimate", F.first(tokens).over(w) + F.when(first, 0).otherwise(image_tokens))
+    """Length by the string length's first row, without the image's tokens for that row itself, as the sampler keeps it.
+
+    The first row of every string length is aggregated before it is joined: few lengths hold most rows.
+    """
+    first = df.groupBy(F.length(text).alias("_l")).agg(F.min(F.struct(F.col(key).alias("k"), tokens.alias("t"))).alias("_f"))
+    met = df.withColumn("_l", F.length(text)).join(first, "_l")
+    return met.withColumn("estimate", F.col("_f.t") + F.when(F.col(key) == F.col("_f.k"), 0).otherwise(image_tokens)).drop("_l", "_f")
 
 
 def extracted_choice(response: Column, choices: Column) -> Column:
@@ -139,6 +142,67 @@ def gains(figures: DataFrame, chance: DataFrame) -> DataFrame:
     return figures.join(chance.select("key", "value", F.col("accuracy").alias("_other")), ["key", "value"], "left").withColumn("gain", F.round(F.col("accuracy") - F.col("_other"), 2)).drop("_other")
 
 
+def category_names(df: DataFrame, categories: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows with the name of their category, slashes as blanks; categories are a table of names. Rows of none have no name."""
+    return df.join(categories.select(key, F.replace(name, F.lit("/"), F.lit(" ")).alias(name)), key, "left")
+
+
+def of_known_classes(df: DataFrame, column: str, classes: list[str], into: str = "class_id") -> DataFrame:
+    """Rows whose class has a place in the list, with it; others are dropped."""
+    at = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(column))
+    return df.where(F.col(column).isin(classes)).withColumn(into, (at - 1).cast("int"))
+
+
+def with_column_at(df: DataFrame, name: str, value: Column, place: int, without: tuple[str, ...] = ()) -> DataFrame:
+    """A column put in at a fixed place, and named ones left out."""
+    kept = [F.col(c) for c in df.columns if c not in without and c != name]
+    return df.select(*kept[:place], value.alias(name), *kept[place:])
+
+
+def joined_as_text(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join on keys of different types by what they are written as."""
+    text = lambda df: df.withColumn(key, F.col(key).cast("string"))
+    return text(a).join(text(b), key, how)
+
+
+def zipped(frames: list[DataFrame], orders: list[list[str]], name: str = "row") -> DataFrame:
+    """Rows with the same place in every frame's order, as long as the shortest."""
+    out = ranged(frames[0], orders[0], name)
+    for df, order in zip(frames[1:], orders[1:], strict=True):
+        out = out.join(ranged(df, order, name), name)
+    return out
+
+
+def ratio_draws(sizes: DataFrame, name: str, draws: int, seed: int = 0) -> DataFrame:
+    """draw, name, at: rows drawn with replacement so that data sets come in their ratios, whatever their sizes; `sizes` has name, n and ratio.
+
+    A row's weight is max(n) / n * ratio / sum of ratios, so that a data set's weight is its ratio.
+    """
+    total = sizes.agg(F.sum("ratio").alias("_r"))
+    from tesserae.operators.sampling import weighted_draws
+
+    return weighted_draws(sizes.join(F.broadcast(total)).withColumn("weight", F.col("ratio") / F.col("_r")), name, draws, seed)
+
+
+def subject_prompt(question: Column, options: Column, form: str = "{question}\n\n{options}\nAnswer with the option's letter from the given choices directly.", lead: str = "") -> Column:
+    """A question with `(A) text` lines in a form, behind instructions."""
+    lines = F.array_join(F.transform(options, lambda o, i: F.concat(F.lit("("), F.char(i + 65), F.lit(") "), o, F.lit("\n"))), "")
+    before, rest = form.split("{question}")
+    between, after = rest.split("{options}")
+    text = F.concat(F.lit(before), question, F.lit(between), lines, F.lit(after))
+    return F.concat(F.lit(lead.strip() + "\n\n"), text) if lead else text
+
+
+def extraction_prompt(demo: str, query: Column, response: Column) -> Column:
+    """What an extracting model reads."""
+    return F.concat(F.lit(demo.strip() + "\n\n"), query, F.lit("\n\n"), response, F.lit("\n\nExtracted answer: "))
+
+
+def to_extract(df: DataFrame, extraction: str) -> DataFrame:
+    """Rows whose extraction is missing or blank, to be run again."""
+    return df.where(F.col(extraction).isNull() | (F.trim(extraction) == ""))
+
+
 def instruction(prompts: list[str], key: Column, seed: int = 0) -> Column:
     """One of the wordings, by the key and the seed."""
     return F.element_at(F.array(*[F.lit(p) for p in prompts]), (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(len(prompts))) + 1).cast("int"))

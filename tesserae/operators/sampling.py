@@ -44,7 +44,8 @@ def rank_cache(df: DataFrame, order: list[str], world: int) -> DataFrame:
 
 
 def repeated(df: DataFrame, times: Column, place: Column, size: Column) -> DataFrame:
-    """Below 1 a prefix of that share, from 1 on that many copies."""
+    """Below 1 a prefix of that share, from 1 on that many copies; more than one and not a whole number is an error."""
+    times = F.when((times > 1) & (times != F.floor(times)), F.raise_error(F.lit("a repetition above 1 must be a whole number"))).otherwise(times)
     copies = F.when(times < 1, F.when(place < F.floor(size * times), 1).otherwise(0)).otherwise(F.floor(times))
     return df.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("bigint"), copies.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))))
 

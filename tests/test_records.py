@@ -77,7 +77,7 @@ def test_models(spark):
 
     def failing():
         def run(b):
-            raise RuntimeError("no service")
+            raise M.Unavailable("no service")
 
         return run
 
