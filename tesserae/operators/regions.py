@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,11 +44,33 @@ def merge_annotations(captions: DataFrame, dense: DataFrame, segments: DataFrame
     return captions.join(dense, key).join(segments, key).join(ocr, key, "left").withColumn("ocr", F.coalesce("ocr", F.lit("")))
 
 
-def best_match(proposals: DataFrame, truths: DataFrame, image: str, threshold: float = 0.5) -> DataFrame:
-    """For each proposal the truth of the same image with the largest overlap, or none below the threshold."""
-    both = proposals.join(truths, image, "left").withColumn("iou", F.coalesce(iou(F.col("box"), F.col("truth_box"), inclusive=False), F.lit(0.0)))
-    top = both.groupBy(image, "proposal").agg(F.max(F.struct("iou", -F.col("truth"))).alias("m"))
-    return top.select(image, "proposal", F.round("m.iou", 6).alias("iou"), F.when(F.col("m.iou") >= threshold, -F.col("m.col2")).alias("truth"))
+def cells(box: Column, side: float) -> Column:
+    """The cells of a grid that a box touches; boxes that overlap share one. A box that isn't one (a corner that is null or no number) touches none."""
+    at = lambda x: F.floor(x / side).cast("int")
+    fine = F.forall(box, lambda x: x.isNotNull() & ~F.isnan(x)) & (box[2] >= box[0]) & (box[3] >= box[1])
+    across = F.transform(F.sequence(at(box[0]), at(box[2])), lambda x: F.transform(F.sequence(at(box[1]), at(box[3])), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    return F.when(fine, F.flatten(across)).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
+
+
+def best_match(proposals: DataFrame, truths: DataFrame, image: str, threshold: float = 0.5, side: float = 0.25) -> DataFrame:
+    """For each proposal the truth of the same image with the largest overlap, the first of equal ones, or none below the threshold.
+
+    Only boxes that share a cell of the image's grid meet, so that an image with very many boxes is no one task's work and
+    no pair is made that can't overlap; `side` is about the size of the boxes.
+    """
+    spread = lambda df, box: df.withColumn("_c", F.explode(cells(F.col(box), side)))
+    met = spread(proposals, "box").join(spread(truths, "truth_box"), [image, "_c"]).withColumn("iou", iou(F.col("box"), F.col("truth_box"), inclusive=False))
+    top = met.groupBy(image, "proposal").agg(F.max(F.struct("iou", (-F.col("truth")).alias("truth"))).alias("m"))
+    return proposals.select(image, "proposal").join(top, [image, "proposal"], "left").select(image, "proposal", F.round(F.coalesce("m.iou", F.lit(0.0)), 6).alias("iou"), F.when(F.col("m.iou") >= threshold, -F.col("m.truth")).alias("truth"))
+
+
+def most_overlap(boxes: DataFrame, image: str, order: str, box: str, side: float = 0.25) -> DataFrame:
+    """image, pairs, most: how many pairs an image's boxes make, and the largest overlap of two; of images with two and more."""
+    n = boxes.groupBy(image).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    x = boxes.select(image, F.col(order).alias("_i"), F.col(box).alias("_a"), F.explode(cells(F.col(box), side)).alias("_c"))
+    met = x.join(x.select(image, "_c", F.col("_i").alias("_j"), F.col("_a").alias("_b")), [image, "_c"]).where("_i < _j")
+    most = met.groupBy(image).agg(F.max(iou(F.col("_a"), F.col("_b"), inclusive=False)).alias("most"))
+    return n.join(most, image, "left").select(image, F.expr("n * (n - 1) div 2").alias("pairs"), F.round(F.coalesce("most", F.lit(0.0)), 6).alias("most"))
 
 
 def finite(df: DataFrame, box: str, score: str, threshold: float) -> DataFrame:
@@ -64,8 +86,18 @@ def rescale_detections(df: DataFrame, box: str, sx: Column, sy: Column, w: Colum
     return out.where((F.col(box)[2] > F.col(box)[0]) & (F.col(box)[3] > F.col(box)[1]))
 
 
-def suppress(boxes: list, scores: list[float], method: str = "gaussian", sigma: float = 0.5, limit: float = 0.3, prune: float = 1e-3) -> list[tuple[int, float]]:
+#: Groups up to this size are worked through in plain numbers; larger ones in arrays, with the same result.
+SMALL = 24
+
+
+def suppress(boxes: list, scores: list[float], method: str = "gaussian", sigma: float = 0.5, limit: float = 0.3, prune: float = 1e-3, small: int = SMALL) -> list[tuple[int, float]]:
     """Indices kept, in order, with their scores: the best box is kept and lowers the others by their overlap with it, again and again."""
+    if len(scores) == 1:
+        return [(0, scores[0])]
+    return (_suppress_few if len(scores) <= small else _suppress_many)(boxes, scores, method, sigma, limit, prune)
+
+
+def _suppress_few(boxes: list, scores: list[float], method: str, sigma: float, limit: float, prune: float) -> list[tuple[int, float]]:
     s = list(scores)
     left, kept = list(range(len(s))), []
     area = [(b[2] - b[0]) * (b[3] - b[1]) for b in boxes]
@@ -88,10 +120,28 @@ def suppress(boxes: list, scores: list[float], method: str = "gaussian", sigma:
     return kept
 
 
-def class_nms(df: DataFrame, image: str, label: str, method: str = "hard", limit: float = 0.5) -> DataFrame:
-    """image, label, id, score of what suppression within image and class leaves.
+def _suppress_many(boxes: list, scores: list[float], method: str, sigma: float, limit: float, prune: float) -> list[tuple[int, float]]:
+    s = np.array(scores, np.float64)
+    b = np.array(boxes, np.float64).reshape(len(s), 4)
+    left = np.arange(len(s))
+    area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    kept: list[tuple[int, float]] = []
+    while len(left):
+        top = left[s[left].argmax()]  # the first of equal ones
+        kept.append((int(top), float(s[top])))
+        left = left[left != top]
+        both = np.maximum(0.0, np.minimum(b[top, 2], b[left, 2]) - np.maximum(b[top, 0], b[left, 0])) * np.maximum(0.0, np.minimum(b[top, 3], b[left, 3]) - np.maximum(b[top, 1], b[left, 1]))
+        union = area[top] + area[left] - both
+        o = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        s[left] *= np.exp(-o * o / sigma) if method == "gaussian" else np.where(o > limit, 1 - o, 1.0) if method == "linear" else o <= limit
+        left = left[s[left] > prune]
+    return kept
+
+
+def class_nms(df: DataFrame, image: str, label: str, method: str = "hard", limit: float = 0.5, keep: int | None = None) -> DataFrame:
+    """image, label, id, score of what suppression within image and class leaves; of every image at most the `keep` best, the first of equal ones.
 
-    One shuffle by image, then the sorted rows are read as a stream: a task holds the boxes of one image and class.
+    One shuffle by image and class, then the sorted rows are read as a stream: a task holds the boxes of one image and class.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,15 +171,8 @@ def class_nms(df: DataFrame, image: str, label: str, method: str = "hard", limit
             yield taken()
 
     rows = df.select(F.col(image).cast("long").alias("image"), F.col(label).alias("label"), F.col("id").cast("long").alias("id"), "box", "score")
-    return rows.repartition("image").sortWithinPartitions("image", "label", "id").mapInArrow(run, "image long, label string, id long, score double")
-
-
-def batched(df: DataFrame, function, schema: str) -> DataFrame:
-    """A model over batches of rows; what it answers with None is left out."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = function()
-        for frame in frames:
-            yield model(frame)
-
-    return df.mapInPandas(run, schema)
+    out = rows.repartition("image", "label").sortWithinPartitions("image", "label", "id").mapInArrow(run, "image long, label string, id long, score double")
+    if keep is None:
+        return out
+    best = W.partitionBy("image").orderBy(F.desc("score"), "label", "id")
+    return out.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= keep).drop("_r")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import let
+
 IGNORE = -100
 #: Separators of the registered templates: system, user, assistant, end of a turn.
 TEMPLATES = {
@@ -74,9 +80,15 @@ def padded(df: DataFrame, batch: str, ids: str, pad: int = 0) -> DataFrame:
 
 def positions(ids: Column, end: int) -> Column:
     """Positions that begin anew after every end-of-document token."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
-    step = lambda s, x: F.struct(F.concat(s["out"], F.array(s["at"])).alias("out"), F.when(x == end, 0).otherwise(s["at"] + 1).alias("at"))
-    return F.aggregate(ids, start, step, lambda s: s["out"])
+    places = F.transform(ids, lambda x, i: F.when(x == end, i))  # where the end tokens are
+    ends = F.array_compact(places)
+
+    def numbered(stops: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(stops, lambda e: e + 1))
+        lengths = F.transform(starts, lambda x, k: F.coalesce(F.try_element_at(starts, k + 2), F.size(ids)) - x)
+        return F.flatten(F.transform(lengths, lambda n: F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))))
+
+    return let(ends, numbered)
 
 
 def with_image_mark(text: Column) -> Column:
@@ -98,13 +110,35 @@ def choice_prompt(question: Column, options: Column, hint: Column | None = None)
     return body if hint is None else F.concat(F.when(hint.isNotNull(), F.concat(hint, F.lit("\n"))).otherwise(""), body)
 
 
-def least_redundant(df: DataFrame, group: str, place: str, vector: str, keep: int) -> DataFrame:
-    """The `keep` members of each group that are least like any later one, in order.
+def likeness_to_later(df: DataFrame, group: str, place: str, vector: str, block: int = 2048) -> DataFrame:
+    """The rows with `likeness`: the largest cosine to any later member of the group; -1 for the last one. Places are whole numbers.
 
-    The later members are gathered within the group (an image's tokens, bounded by the model) instead of joined pair by pair.
+    Members are dealt by hash to blocks of about `block`, and every two blocks of a group meet once, as two matrices whose
+    product has all their cosines. So no row is paired with a row in a plan, and a large group is many tasks' work.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    later = F.collect_list(vector).over(W.partitionBy(group).orderBy(place).rowsBetween(1, W.unboundedFollowing))
-    most = F.array_max(F.transform("later", lambda v: dot(F.col(vector), v)))
-    scored = df.withColumn("later", later).withColumn("likeness", F.coalesce(most, F.lit(-1.0))).drop("later")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    dealt = df.select(group, F.col(place).cast("long").alias("p"), F.transform(vector, lambda x: x.cast("double")).alias("v")).join(sizes, group).withColumn("a", F.pmod(F.xxhash64("p"), F.col("_blocks")).cast("int"))
+    blocks = dealt.groupBy(group, "a").agg(F.collect_list("p").alias("p"), F.collect_list("v").alias("v"), F.first("_blocks").alias("_blocks"))
+    left = blocks.withColumn("b", F.explode(F.sequence(F.col("a"), F.col("_blocks") - 1))).drop("_blocks")
+    pairs = left.join(blocks.select(group, F.col("a").alias("b"), F.col("p").alias("q"), F.col("v").alias("w")), [group, "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p, v, q, w = (batch.column(k)[i].as_py() for k in range(1, 5))
+                p, q, v, w = np.array(p), np.array(q), np.array(v), np.array(w)
+                unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                cosine = unit(v) @ unit(w).T
+                ahead, behind = np.where(q[None, :] > p[:, None], cosine, -1.0).max(axis=1), np.where(p[:, None] > q[None, :], cosine, -1.0).max(axis=0)
+                places = np.concatenate([p, q])
+                yield pa.record_batch([pa.array([batch.column(0)[i].as_py()] * len(places), batch.schema.field(0).type), pa.array(places), pa.array(np.concatenate([ahead, behind]))], [group, "p", "likeness"])
+
+    kind = df.schema[group].dataType.simpleString()
+    most = pairs.select(group, "p", "v", "q", "w").mapInArrow(run, f"{group} {kind}, p long, likeness double").groupBy(group, "p").agg(F.max("likeness").alias("likeness"))
+    return df.join(most.withColumnRenamed("p", place), [group, place])
+
+
+def least_redundant(df: DataFrame, group: str, place: str, vector: str, keep: int) -> DataFrame:
+    """The `keep` members of each group that are least like any later one; of equal ones the earlier. Places differ within a group."""
+    scored = likeness_to_later(df, group, place, vector)
     return scored.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy("likeness", place))).where(F.col("_r") <= keep).drop("_r")

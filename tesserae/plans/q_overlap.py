@@ -14,7 +14,7 @@ TILE_LIMITS = {"chart": 12, "document": 24, "scene_text": 12, "maths": 6}
 
 def bleu_by_run(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "prediction").where("answer is not null and annotation is not null and size(annotation) > 0")
-    return bleu(p, "answer", "annotation", "run_name", 2)
+    return bleu(p, "answer", "annotation", "run_name")
 
 
 def tile_limits(s: SparkSession, d: str) -> DataFrame:

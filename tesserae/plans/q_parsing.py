@@ -42,7 +42,7 @@ def tagged_segments(s: SparkSession, d: str) -> DataFrame:
 
 def chat_pages(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "conversation").select("row_id", F.posexplode("conversations").alias("turn", "t")).where("t.value is not null")
-    return t.select("row_id", "turn", F.length(P.chat_html(F.col("t.value"))).alias("size"))
+    return t.select("row_id", "turn", P.chat_html(F.col("t.value")).alias("page"))
 
 
 def stopped_texts(s: SparkSession, d: str) -> DataFrame:

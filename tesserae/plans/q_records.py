@@ -68,13 +68,11 @@ def crop_coordinates(s: SparkSession, d: str) -> DataFrame:
 
 
 def pairwise_overlaps(s: SparkSession, d: str) -> DataFrame:
-    """Overlap of every two regions of one image; an image has at most a few tens."""
-    from tesserae.functions.geometry import iou
+    """Overlap of every two regions of one image."""
+    from tesserae.operators.regions import most_overlap
     from tesserae.plans.q_regions import lines
 
-    x = lines(s, d)
-    a, b = x.select("img", F.col("pos").alias("a"), F.col("box").alias("box_a")), x.select("img", F.col("pos").alias("b"), F.col("box").alias("box_b"))
-    return a.join(b, "img").where("a < b").groupBy("img").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max(iou(F.col("box_a"), F.col("box_b"), False)), 6).alias("most"))
+    return most_overlap(lines(s, d), "img", "pos", "box")
 
 
 QUERIES = {f.__name__: f for f in (typed_events, question_subjects, option_columns, rule_extraction, length_estimates, instruction_counts, substituted, caption_tokens, crop_coordinates, pairwise_overlaps)}

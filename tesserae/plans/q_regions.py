@@ -30,9 +30,9 @@ def region_threshold(s: SparkSession, d: str) -> DataFrame:
 
 
 def region_captions(s: SparkSession, d: str) -> DataFrame:
-    """Captions of the regions above the threshold, in order, as one string an image."""
-    o = lines(s, d).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("pos", "caption", "score"))).alias("o"))
-    return o.select("img", F.array_join(F.transform(R.above(F.col("o"), 0.5), lambda r: F.concat(r["caption"], F.lit("; "))), "").alias("prompt"))
+    """`caption: [box]; ` of the regions above the threshold, in order, as one string an image."""
+    o = lines(s, d).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("pos", "caption", "score", F.transform("box", lambda x: F.round(x * 100).cast("int")).alias("box")))).alias("o"))
+    return o.select("img", R.prompt_string(R.above(F.col("o"), 0.5)).alias("prompt"))
 
 
 def region_topk_area(s: SparkSession, d: str) -> DataFrame:
@@ -104,12 +104,18 @@ def class_nms(s: SparkSession, d: str) -> DataFrame:
     return R.class_nms(x, "img", "caption")
 
 
+def nms_best(s: SparkSession, d: str) -> DataFrame:
+    """The two best regions of every image after suppression."""
+    x = lines(s, d).select("img", "caption", F.col("pos").alias("id"), "box", "score")
+    return R.class_nms(x, "img", "caption", keep=2)
+
+
 def class_soft_nms(s: SparkSession, d: str) -> DataFrame:
     x = lines(s, d).select("img", "caption", F.col("pos").alias("id"), "box", "score")
     return R.class_nms(x, "img", "caption", "gaussian")
 
 
-QUERIES = {f.__name__: f for f in (region_threshold, region_captions, region_topk_area, region_first_kept, iou_consecutive, precision_at_half, annotation_merge, caption_fusion_prompt, region_best_match, detections_rescaled, score_fusion, beam_topk, box_formats, class_nms, class_soft_nms)}
+QUERIES = {f.__name__: f for f in (region_threshold, region_captions, region_topk_area, region_first_kept, iou_consecutive, precision_at_half, annotation_merge, caption_fusion_prompt, region_best_match, detections_rescaled, score_fusion, beam_topk, box_formats, class_nms, nms_best, class_soft_nms)}
 
 _L = """lines AS (SELECT l_orderkey AS img, l_returnflag AS caption, (100 - CAST(round(l_discount * 1000) AS INT)) / 100.0 AS score, l_quantity * l_linenumber AS area,
   (l_partkey % 50) / 100.0 AS x1, (l_suppkey % 50) / 100.0 AS y1, ((l_partkey % 50) + l_quantity) / 100 AS x2, ((l_suppkey % 50) + l_quantity) / 100 AS y2,
@@ -129,7 +135,7 @@ _MERGE = f"merged AS (SELECT o_orderkey AS img_id, o_orderpriority AS blip2cap,
 
 SQL = {
     "region_threshold": f"WITH {_L} SELECT caption, count(*) AS n FROM lines WHERE score > 0.5 GROUP BY 1",
-    "region_captions": f"WITH {_L} SELECT img, coalesce(string_agg(caption || '; ', '' ORDER BY pos) FILTER (score > 0.5), '') AS prompt FROM lines GROUP BY 1",
+    "region_captions": f"WITH {_L} SELECT img, coalesce(string_agg(caption || ': [' || CAST(round(x1 * 100) AS INT) || ', ' || CAST(round(y1 * 100) AS INT) || ', ' || CAST(round(x2 * 100) AS INT) || ', ' || CAST(round(y2 * 100) AS INT) || ']; ', '' ORDER BY pos) FILTER (score > 0.5), '') AS prompt FROM lines GROUP BY 1",
     "region_topk_area": f"WITH {_L} SELECT img, pos, area, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY img ORDER BY area DESC, pos) AS INT) AS rank FROM lines) WHERE rank <= 3",
     "region_first_kept": f"""WITH {_L}, f AS (SELECT *, first_value(x1) OVER w AS f_x1, first_value(y1) OVER w AS f_y1, first_value(x2) OVER w AS f_x2, first_value(y2) OVER w AS f_y2, row_number() OVER w AS rn FROM lines WHERE score > 0.5 WINDOW w AS (PARTITION BY img, caption ORDER BY pos))
       SELECT img, caption, pos FROM f WHERE rn = 1 OR {_iou('', 'f_', '1.0')} < 0.6""",

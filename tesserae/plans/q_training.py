@@ -24,8 +24,7 @@ def without_system(s: SparkSession, d: str) -> DataFrame:
 
 
 def rendered_chats(s: SparkSession, d: str) -> DataFrame:
-    c = conversations(s, d).select("row_id", F.col("conversations").alias("t"))
-    return c.select("row_id", F.md5(T.rendered(F.col("t"), "im").cast("binary")).alias("im"), F.length(T.rendered(F.col("t"), "plain")).alias("plain"))
+    return conversations(s, d).select("row_id", T.rendered(F.col("conversations"), "im").alias("im"))
 
 
 def message_roles(s: SparkSession, d: str) -> DataFrame:
@@ -38,26 +37,36 @@ def image_placeholders(s: SparkSession, d: str) -> DataFrame:
     return c.select("row_id", T.expand_images(T.with_image_mark(F.col("v")), F.lit(4)).alias("prompt"))
 
 
+def _ids(c):
+    """Lengths of the words, which SQL can tell as well."""
+    return F.transform(X.words(F.coalesce(c, F.lit(""))), lambda w: F.length(w))
+
+
+def _joined(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
 def pair_samples(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "prediction").where("answer is not null").select("pred_id", T.word_ids(F.col("question_id")).alias("q"), T.word_ids(F.col("answer")).alias("a"))
-    x = p.select("pred_id", T.pair_sample(F.col("q"), F.col("a"), 2, 0, 16).alias("s"))
-    return x.select("pred_id", F.size("s.ids").alias("size"), F.size(F.filter("s.labels", lambda x: x != -100)).alias("labelled"), F.size(F.filter("s.mask", lambda x: x)).alias("attended"))
+    """Ids, labels and mask of every answered question."""
+    key = ["source", "split", "question_id"]
+    q = table(s, d, "vqa_question").where("question_id is not null").groupBy(*key).agg(F.min_by("question", "record_id").alias("question"))
+    p = table(s, d, "prediction").where("answer is not null and question_id is not null").join(q, key).select("pred_id", T.pair_sample(_ids(F.col("question")), _ids(F.col("answer")), -2, 0, 16).alias("s"))
+    return p.select("pred_id", _joined("s.ids").alias("ids"), _joined("s.labels").alias("labels"), _joined(F.transform("s.mask", lambda x: x.cast("int"))).alias("mask"))
 
 
 def dialogue_labels(s: SparkSession, d: str) -> DataFrame:
-    c = conversations(s, d).select("row_id", T.dialogue_labels(F.col("conversations"), T.word_ids).alias("l"))
-    return c.select("row_id", F.size("l").alias("size"), F.size(F.filter("l", lambda x: x > 0)).alias("labelled"), F.size(F.filter("l", lambda x: x == -1)).alias("turns"))
+    return conversations(s, d).select("row_id", _joined(T.dialogue_labels(F.col("conversations"), _ids)).alias("labels"))
 
 
 def padded_batches(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "prediction").where("answer is not null").select("pred_id", F.floor(F.col("pred_id") / 8).alias("batch"), T.word_ids(F.col("answer")).alias("ids"))
-    return T.padded(p, "batch", "ids").select("pred_id", "batch", F.size("ids").alias("size"), F.size(F.filter("mask", lambda x: x)).alias("used"))
+    p = table(s, d, "prediction").where("answer is not null").select("pred_id", F.floor(F.col("pred_id") / 8).alias("batch"), _ids(F.col("answer")).alias("ids"))
+    return T.padded(p, "batch", "ids").select("pred_id", "batch", _joined("ids").alias("ids"), F.size(F.filter("mask", lambda x: x)).alias("used"))
 
 
 def reset_positions(s: SparkSession, d: str) -> DataFrame:
     """Positions of the turns' words; the word that ends a turn ends a document."""
     c = conversations(s, d).select("row_id", F.flatten(F.transform("conversations", lambda t: F.concat(F.transform(X.words(F.coalesce(t["value"], F.lit(""))), lambda w: F.lit(1)), F.array(F.lit(0))))).alias("ids"))
-    return c.select("row_id", F.size("ids").alias("n"), F.array_max(T.positions(F.col("ids"), 0)).alias("longest"))
+    return c.select("row_id", _joined(T.positions(F.col("ids"), 0)).alias("positions"))
 
 
 def least_redundant(s: SparkSession, d: str) -> DataFrame:
@@ -65,8 +74,9 @@ def least_redundant(s: SparkSession, d: str) -> DataFrame:
 
 
 def top_tokens(s: SparkSession, d: str) -> DataFrame:
-    """The better half of each group by its first component, back in order."""
-    e = table(s, d, "embeddings").select("label", "vec_id", F.element_at("embedding", 1).cast("double").alias("x"))
+    """The better half of each group by the mean of its components, back in order."""
+    mean = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"), lambda a: a / F.size("embedding"))
+    e = table(s, d, "embeddings").select("label", "vec_id", F.round(mean, 9).alias("x"))
     w = W.partitionBy("label")
     r = e.withColumn("r", F.row_number().over(w.orderBy(F.desc("x"), "vec_id"))).withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("r") <= F.floor(F.col("n") * 0.5))
     return r.select("label", "vec_id", F.row_number().over(w.orderBy("vec_id")).alias("place"))
@@ -190,6 +200,7 @@ def type_rollup(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (without_system, rendered_chats, message_roles, image_placeholders, pair_samples, dialogue_labels, padded_batches, reset_positions, least_redundant, top_tokens, tile_grid, tile_boxes, second_scale, fit_in_square, window_origins, frame_samples, option_answers, choice_prompts, vqa_prompts, marked_boxes, prompt_tails, gqa_clean_answers, bilingual_labels, reciprocal_ranks, judge_scores, paired_accuracy, consecutive_pairs, type_rollup)}
 
 _W = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
+_LEN = "list_transform(" + _W + ", lambda w: length(w))"
 _C = "c AS (SELECT row_id, conversations AS t FROM conversation WHERE len(conversations) > 0)"
 _HEAD = "CASE x.from_role WHEN 'human' THEN '{}' WHEN 'gpt' THEN '{}' ELSE '{}' END"
 _R = "array_to_string(list_transform(t, lambda x: " + _HEAD + " || coalesce(x.value, '') || '{}'), '')"
@@ -200,19 +211,21 @@ _P = "p AS (SELECT p_partkey, 100 + p_size * 37 AS w, 100 + p_partkey % 41 * 23
 SQL = {
     "without_system": f"""WITH {_C}, a AS (SELECT row_id, CASE WHEN t[1].from_role = 'system' THEN t[2:] ELSE t END AS t FROM c), b AS (SELECT row_id, CASE WHEN t[1].from_role <> 'human' THEN t[2:] ELSE t END AS t FROM a)
       SELECT row_id, CAST(len(t) AS INT) AS turns, len(list_filter(t, lambda x, i: x.from_role <> CASE WHEN i % 2 = 1 THEN 'human' ELSE 'gpt' END)) = 0 AS alternates FROM b""",
-    "rendered_chats": f"WITH {_C} SELECT row_id, md5({_IM}) AS im, CAST(length({_R.format('USER: ', 'ASSISTANT: ', '', _NL)}) AS INT) AS plain FROM c",
+    "rendered_chats": f"WITH {_C} SELECT row_id, {_IM} AS im FROM c",
     "message_roles": "SELECT CASE m.from_role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE 'system' END AS role, count(*) AS n, CAST(sum(length(m.value)) AS BIGINT) AS chars FROM (SELECT unnest(conversations) AS m FROM conversation) GROUP BY 1",
     "image_placeholders": """WITH v AS (SELECT row_id, conversations[1].value AS v FROM conversation WHERE len(conversations) > 0 AND image IS NOT NULL), w AS (SELECT row_id, CASE WHEN contains(v, '<image>') THEN v ELSE '<image>' || chr(10) || v END AS v FROM v WHERE v IS NOT NULL)
       SELECT row_id, substr(v, 1, strpos(v, '<image>') - 1) || '<img>' || repeat('<ctx>', 4) || '</img>' || substr(v, strpos(v, '<image>') + 7) AS prompt FROM w""",
-    "pair_samples": f"""WITH p AS (SELECT pred_id, len({_W.format("coalesce(question_id, '')")}) AS q, len({_W.format('answer')}) AS a FROM prediction WHERE answer IS NOT NULL)
-      SELECT pred_id, 16 AS size, CAST(greatest(least(q + a + 1, 16) - least(q, 16), 0) AS INT) AS labelled, CAST(least(q + a + 1, 16) AS INT) AS attended FROM p""",
-    "dialogue_labels": f"""WITH {_C}, n AS (SELECT row_id, list_transform(t, lambda x: len({_W.format("coalesce(x.value, '')")}) + 1) AS a, list_transform(t, lambda x: CASE WHEN x.from_role = 'gpt' THEN len({_W.format("coalesce(x.value, '')")}) ELSE 0 END) AS g FROM c)
-      SELECT row_id, CAST(list_sum(a) AS INT) AS size, CAST(list_sum(g) AS INT) AS labelled, CAST(len(a) AS INT) AS turns FROM n""",
-    "padded_batches": f"""WITH p AS (SELECT pred_id, pred_id // 8 AS batch, CAST(len({_W.format('answer')}) AS INT) AS used FROM prediction WHERE answer IS NOT NULL) SELECT pred_id, batch, max(used) OVER (PARTITION BY batch) AS size, used FROM p""",
-    "reset_positions": f"WITH {_C}, n AS (SELECT row_id, list_transform(t, lambda x: len({_W.format("coalesce(x.value, '')")})) AS a FROM c) SELECT row_id, CAST(list_sum(a) + len(a) AS INT) AS n, CAST(list_max(a) AS INT) AS longest FROM n",
-    "least_redundant": """WITH s AS (SELECT a.label, a.vec_id, coalesce(max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), -1.0) AS likeness FROM embeddings a LEFT JOIN embeddings b ON b.label = a.label AND b.vec_id > a.vec_id GROUP BY 1, 2)
+    "pair_samples": f"""WITH q AS (SELECT source, split, question_id, arg_min_null(question, record_id) AS question FROM vqa_question WHERE question_id IS NOT NULL GROUP BY ALL),
+      p AS (SELECT pred_id, {_LEN.format("coalesce(q.question, '')")} AS q, {_LEN.format('p.answer')} AS a FROM prediction p JOIN q USING (source, split, question_id) WHERE p.answer IS NOT NULL), f AS (SELECT *, greatest(16 - len(q) - len(a) - 1, 0) AS room FROM p)
+      SELECT pred_id, array_to_string(list_concat(q, a, [-2], list_transform(range(room), lambda i: 0))[1:16], ',') AS ids, array_to_string(list_concat(list_transform(q, lambda x: -100), a, [-2], list_transform(range(room), lambda i: -100))[1:16], ',') AS labels,
+      array_to_string(list_transform(range(1, 17), lambda i: CASE WHEN i <= len(q) + len(a) + 1 THEN 1 ELSE 0 END), ',') AS mask FROM f""",
+    "dialogue_labels": f"""WITH {_C} SELECT row_id, array_to_string(flatten(list_transform(t, lambda x: list_concat(CASE WHEN x.from_role = 'gpt' THEN {_LEN.format("coalesce(x.value, '')")} ELSE list_transform({_LEN.format("coalesce(x.value, '')")}, lambda y: -100) END, [-1]))), ',') AS labels FROM c""",
+    "padded_batches": f"""WITH p AS (SELECT pred_id, pred_id // 8 AS batch, {_LEN.format('answer')} AS ids FROM prediction WHERE answer IS NOT NULL), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS n FROM p)
+      SELECT pred_id, batch, array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda i: 0)), ',') AS ids, CAST(len(ids) AS INT) AS used FROM m""",
+    "reset_positions": f"WITH {_C} SELECT row_id, array_to_string(flatten(list_transform(t, lambda x: range(len({_W.format("coalesce(x.value, '')")}) + 1))), ',') AS positions FROM c",
+    "least_redundant": """WITH s AS (SELECT a.label, a.vec_id, coalesce(max(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), -1.0) AS likeness FROM embeddings a LEFT JOIN embeddings b ON b.label = a.label AND b.vec_id > a.vec_id GROUP BY 1, 2)
       SELECT label, vec_id, round(likeness, 5) AS likeness FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY likeness, vec_id) AS r FROM s) WHERE r <= 20""",
-    "top_tokens": """WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY CAST(embedding[1] AS DOUBLE) DESC, vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+    "top_tokens": """WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(list_sum(CAST(embedding AS DOUBLE[])) / len(embedding), 9) DESC, vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
       SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS place FROM r WHERE r <= floor(n * 0.5)""",
     "fit_in_square": f"""WITH {_P} SELECT p_partkey, CAST(floor(w * least(CAST(448 AS DOUBLE) / w, CAST(448 AS DOUBLE) / h)) AS INT) AS fw, CAST(floor(h * least(CAST(448 AS DOUBLE) / w, CAST(448 AS DOUBLE) / h)) AS INT) AS fh, CAST((greatest(w, h) - w) // 2 AS INT) AS "left", CAST((greatest(w, h) - h) // 2 AS INT) AS top,
       CAST(floor((greatest(w, h) // 14) * (greatest(w, h) // 14) * 0.25) AS INT) AS tokens FROM p""",

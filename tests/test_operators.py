@@ -88,3 +88,55 @@ def test_suppression():
     soft = dict(R.suppress(boxes, scores, "gaussian"))
     assert soft[0] == 0.9 and soft[1] < 0.8 and soft[2] == 0.7
     assert R.suppress([], [], "hard") == []
+
+
+def test_suppression_is_the_same_at_every_size():
+    rng = random.Random(8)
+    for method in ("hard", "linear", "gaussian"):
+        for n in (2, 7, 60):
+            corners = [(rng.random(), rng.random()) for _ in range(n)]
+            boxes = [(x, y, x + rng.random(), y + rng.random()) for x, y in corners]
+            scores = [round(rng.random(), 1) for _ in range(n)]
+            a, b = R.suppress(boxes, scores, method, small=0), R.suppress(boxes, scores, method, small=1000)
+            assert [i for i, _ in a] == [i for i, _ in b] and all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(a, b, strict=True))
+
+
+def test_boxes_meet_in_cells(spark):
+    """Against all pairs: boxes of any size, touching ones, and ones without a match."""
+    rng = random.Random(9)
+
+    def box():
+        x, y = rng.uniform(-2, 2), rng.uniform(-2, 2)
+        return [x, y, x + rng.choice([0.05, 0.3, 2.0]), y + rng.choice([0.05, 0.3, 2.0])]
+
+    p = [(i % 3, i, box()) for i in range(60)] + [(7, 99, box())]
+    t = [(i % 3, i, box()) for i in range(40)]
+
+    def iou(a, b):
+        both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+    got = R.best_match(spark.createDataFrame(p, "img int, proposal int, box array<double>"), spark.createDataFrame(t, "img int, truth int, truth_box array<double>"), "img", 0.2).collect()
+    assert len(got) == 61
+    for r in got:
+        own = next(b for i, k, b in p if k == r["proposal"])
+        best = max(((iou(own, b), -k) for i, k, b in t if i == r["img"]), default=(0.0, 0))
+        assert abs(r["iou"] - best[0]) < 1e-6 and r["truth"] == (-best[1] if best[0] >= 0.2 else None)
+    n = R.most_overlap(spark.createDataFrame(p, "img int, k int, box array<double>"), "img", "k", "box").collect()
+    assert {r["img"]: r["pairs"] for r in n} == {0: 190, 1: 190, 2: 190}
+    assert all(abs(r["most"] - max(iou(a, b) for i, k, a in p if i == r["img"] for j, m, b in p if j == i and k < m)) < 1e-6 for r in n)
+
+
+def test_likeness_by_blocks(spark):
+    import numpy as np
+
+    from tesserae.operators.training import likeness_to_later
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 5))
+    rows = [("a" if i % 3 else "b", i, [float(x) for x in v[i]]) for i in range(90)]
+    got = {r["place"]: r["likeness"] for r in likeness_to_later(spark.createDataFrame(rows, "g string, place long, v array<double>"), "g", "place", "v", block=7).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for g, i, _ in rows:
+        later = [float(unit[i] @ unit[j]) for h, j, _ in rows if h == g and j > i]
+        assert abs(got[i] - max(later, default=-1.0)) < 1e-9
