@@ -256,6 +256,11 @@ SQL = {
       SELECT pred_id, 'Read the answer out of the response.' || chr(10) || chr(10) || q.question || chr(10) || chr(10) || p.answer || chr(10) || chr(10) || 'Extracted answer: ' AS prompt FROM prediction p JOIN q USING (source, split, question_id) WHERE p.answer IS NOT NULL AND q.question IS NOT NULL""",
     "second_grids": f"""WITH {_P}, f AS (SELECT *, {_grid(_listed(FIRST))} AS g FROM p), a AS (SELECT *, list_filter({_listed(SECOND)}, lambda c: g.i % c.i <> 0 AND g.j % c.j <> 0) AS st, list_filter({_listed(SECOND)}, lambda c: g.i % c.i <> 0 OR g.j % c.j <> 0) AS lo FROM f),
       b AS (SELECT p_partkey, g AS f, {_grid('st')} AS s, {_grid('lo')} AS l FROM a) SELECT p_partkey, f.i || 'x' || f.j AS "first", s.i || 'x' || s.j AS strict, l.i || 'x' || l.j AS loose FROM b""",
+    "tile_grid": f"WITH {_P}, f AS (SELECT *, {_grid(_listed(FIRST))} AS g FROM p) SELECT p_partkey, g.i AS columns, g.j AS rows, g.i * g.j AS tiles FROM f",
+    "tile_boxes": f"""WITH {_P}, f AS (SELECT *, {_grid(_listed(FIRST))} AS g FROM p), t AS (SELECT g.i AS i, unnest(range(g.i * g.j)) AS k FROM f)
+      SELECT CAST(k AS INT) AS tile, count(*) AS n, CAST(sum((k % i + 1) * 448) AS BIGINT) AS "right", CAST(sum((k // i + 1) * 448) AS BIGINT) AS bottom FROM t GROUP BY 1""",
+    "second_scale": f"""WITH {_P}, f AS (SELECT *, {_grid(_listed(FIRST))} AS g FROM p) SELECT g.i AS columns, g.j AS rows, count(*) AS n, CAST(max(len(list_filter({_listed(SECOND)}, lambda c: g.i % c.i <> 0 AND g.j % c.j <> 0))) AS INT) AS strict,
+      CAST(max(len(list_filter({_listed(SECOND)}, lambda c: g.i % c.i <> 0 OR g.j % c.j <> 0))) AS INT) AS loose FROM f GROUP BY 1, 2""",
     "tiles_with_thumbnail": f"""WITH {_P}, f AS (SELECT *, {_grid(_listed(FIRST))} AS g FROM p), t AS (SELECT p_partkey, w, h, g.i AS i, g.i * g.j AS n, unnest(range(g.i * g.j + CASE WHEN g.i * g.j > 1 THEN 1 ELSE 0 END)) AS k FROM f)
       SELECT p_partkey, CAST(k AS INT) AS tile, CAST(CASE WHEN k = n THEN 0 ELSE k % i * 448 END AS INT) AS x1, CAST(CASE WHEN k = n THEN 0 ELSE k // i * 448 END AS INT) AS y1, CAST(CASE WHEN k = n THEN w ELSE (k % i + 1) * 448 END AS INT) AS x2, CAST(CASE WHEN k = n THEN h ELSE (k // i + 1) * 448 END AS INT) AS y2 FROM t""",
     "sliding_windows": f"""WITH {_P}, n AS (SELECT *, CASE WHEN w >= 448 THEN (w - 448) // 448 + 1 ELSE 0 END AS nx, CASE WHEN h >= 448 THEN (h - 448) // 448 + 1 ELSE 0 END AS ny, CAST(ceil(w / 448.0) AS INT) AS cx, CAST(ceil(h / 448.0) AS INT) AS cy FROM p)
