@@ -8,7 +8,7 @@ the close of the response as the truncation operator reads it) is added.
 The field learns from a bounded sample without labels, in two steps. Refusals are composed (refusals.py), prompts given
 back, responses moved to prompts of another language and responses cut short are made from the sample; answers are
 first only the clauses that carry what a refusal has not: numbers, names, quotations, words that other responses quote.
-The field so learned tags the whole sample, and is learned again with these tags.
+The field so learned tags the whole sample, and is learned again with the tags it is sure of, twice.
 
 Exact checks follow where the definition is exact: a tagged copy is one if nothing but the prompt is left of it, an
 unfinished response if the truncation operator finds it, a foreign one if its language is nearer as a whole.
@@ -44,6 +44,8 @@ SAMPLE = 9000
 PER_LANGUAGE, COMPOSED = 1600, 500
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
+#: Log-odds that the truncation operator's finding adds to the label unfinished, and within which an unsure response is not learned from.
+CUT_ODDS, UNSURE = 8.0, 4.0
 #: Log-likelihood by which a whole response must be nearer to another language than to the prompt's.
 MARGIN = 4.0
 
@@ -253,7 +255,7 @@ class Tagger:
                 kept = self.prompts[text] = NO_PROMPT
                 return kept
             words = frozenset(WORD.findall(text.replace("<image>", " ").casefold()))
-            longest = sorted(words, key=len)[-4:]
+            longest = sorted(words, key=lambda w: (len(w), w))[-4:]
             pieces = tuple(longest) if longest and len(longest[-1]) > 2 else tuple(words)
             kept = self.prompts[text] = (*known, pieces, words)
         return kept
@@ -315,6 +317,9 @@ class Tagger:
             row = [a + b for a, b in zip(self.clause(part)[0], extra, strict=True)]
             sure = sure and row[0] - max(row[1:]) > self.bound
             rows.append(row)
+        if cut:
+            rows[-1][UNFINISHED] += CUT_ODDS
+            sure = False
         whole = languages[0] if len(parts) == 1 else [sum(x) for x in zip(*languages, strict=True)]
         return [ANSWER] * len(parts) if sure else self.best(rows), parts, whole
 
@@ -389,6 +394,12 @@ class Lessons:
         parts, abouts, _ = self.tagger.read(about, response, cut, self.tagger.overlap(about, response))
         return [_hash(wording(c) + self.tagger.spelled(x)) for c, x in zip(parts, abouts, strict=True)], parts
 
+    def wordless(self, prompt: str | None, response: str) -> list[list[int]]:
+        """What is known of a response whose words say nothing."""
+        about = self.tagger.prompt(prompt)
+        parts, abouts, _ = self.tagger.read(about, response, False, self.tagger.overlap(about, response))
+        return [_hash([f"size{min(len(WORD.findall(c)), 8)}", *self.tagger.spelled(x)]) for c, x in zip(parts, abouts, strict=True)]
+
     def made(self) -> Sequences:
         """Refusals composed, prompts given back, responses in another language, responses cut short."""
         out: Sequences = []
@@ -435,16 +446,20 @@ class Lessons:
             if self.home[i] >= 0 and self.told[i] >= 0 and self.home[i] != self.told[i] and not about[1] and self.told[i] not in about[2] and not (learned and self.tagger.defect(q, a, self.cut[i]) == "refusal"):
                 continue  # left open: it may be the very defect
             tags = [ANSWER] * len(parts)
-            if learned:
-                labels = self.tagger.tag(about, a, self.cut[i], self.tagger.overlap(about, a))[0]
-                refused = sum(len(p) for p, k in zip(parts, labels, strict=True) if k == REFUSAL)
-                if refused * 2 > sum(map(len, parts)) and normal(a) not in self.quoted:
+            safe = grounded(a) or normal(a) in self.quoted
+            if learned and not safe:
+                gap = sum(e[REFUSAL] - e[ANSWER] for e in (self.tagger.field.emit[r].sum(axis=0) for r in rows))
+                if gap > 0:
                     tags = [REFUSAL] * len(parts)
+                elif gap > -UNSURE and not truncation.is_short(a.strip()):
+                    continue
             elif not (grounded(a) or truncation.is_short(a.strip()) or normal(a) in self.quoted):
                 continue
             if self.cut[i]:
                 tags[-1] = UNFINISHED
             out.append((rows, tags))
+            if not any(tags) and self.rng.random() < 0.03:  # without any sign of another label it is an answer
+                out.append((self.wordless(q, a), tags))
         return out
 
 
@@ -467,9 +482,10 @@ def learn_field(pairs: list[tuple[str | None, str]], tagger: Tagger) -> Tagger:
     lessons = Lessons(pairs, tagger)
     made = lessons.made()
     tagger.field.fit([*made, *lessons.read(False)])
-    tagger.forget()
-    again = [*made, *lessons.read(True)]
-    tagger.field = ChainCRF(LABELS).fit(again)
+    for _ in range(2):
+        tagger.forget()
+        again = [*made, *lessons.read(True)]
+        tagger.field = ChainCRF(LABELS).fit(again)
     tagger.forget()
     return tagger
 

@@ -17,16 +17,17 @@ PARTS: dict[str, dict[str, Sequence[str]]] = {
     "en": {
         "open": ["", "", "", "Sorry, ", "I'm sorry, but ", "Unfortunately, ", "I regret that ", "Apologies, ", "I am afraid ", "My apologies: ", "As an AI model, ", "As a language model, ", "As an assistant, ", "Thank you, but ", "Frankly, ", "Alas, ", "Oh, "],
         "not": ["cannot", "can't", "can not", "could not", "am not able to", "am unable to", "am in no position to", "am not allowed to", "am not permitted to", "am not supposed to", "may not", "must not", "will not", "won't", "would rather not", "prefer not to", "would prefer not to", "refuse to", "decline to", "have to decline to", "choose not to", "do not want to", "don't wish to", "am not going to", "never", "do not", "don't", "am not meant to", "lack the means to", "have no means to", "have no permission to"],
-        "act": ["answer", "respond to", "reply to", "help with", "assist with", "comment on", "discuss", "talk about", "speak about", "describe", "view", "see", "look at", "open", "read", "process", "interpret", "analyse", "identify", "give details on", "say anything about", "handle", "deal with", "give an opinion on", "go into", "do", "take on", "judge"],
+        "act": ["answer", "respond to", "reply to", "help with", "assist with", "comment on", "discuss", "talk about", "speak about", "describe", "view", "see", "look at", "open", "read", "process", "interpret", "analyse", "identify", "give details on", "say anything about", "handle", "deal with", "give an opinion on", "go into", "do", "take on", "judge", "comply with", "carry out", "fulfil"],
         "acting": ["answering", "responding to", "helping with", "assisting with", "commenting on", "discussing", "describing", "viewing", "seeing", "looking at", "reading", "processing", "interpreting", "identifying", "talking about"],
         "acted": ["answered", "discussed", "described", "processed", "handled", "commented on", "given"],
         "thing": ["this", "that", "it", "this question", "that question", "your question", "this request", "such requests", "this image", "images", "image questions", "pictures", "this picture", "photos", "the photo", "this topic", "that subject", "this matter", "such content", "anything like that", "files", "attachments", "{}"],
         "own": ["abilities", "capabilities", "remit", "scope", "rules", "competence", "permissions", "role", "limits"],
+        "bare": ["unable", "not able", "not allowed", "not permitted", "not going"],
         "means": ["way", "means", "ability", "possibility", "right", "tools"],
         "rule": ["policy", "policies", "rules", "guidelines", "programming", "terms", "settings", "operators", "developers"],
         "forbid": ["forbid me to", "do not let me", "do not permit me to", "prevent me: I may not", "keep me from it: I will not", "stop me: I cannot", "do not allow that I"],
         "close": ["", "", "", "", " Please try another question.", " Please ask somebody else.", " Can I help with something else?", " Is there something else I can do?", " Let me know if you have other questions.", "; please send something different.", " Thank you for understanding.", " I hope you understand.", " Perhaps a specialist can help.", " Please contact support."],
-        "form": ["I {not} {act} {thing}", "I {not} {act} {thing}", "I {not} {act} {thing}", "I {not} {act} {thing}", "{acting} {thing} is not possible", "{acting} {thing} is not something I do", "{acting} {thing} is beyond my {own}", "{thing} is outside my {own}", "{thing} is not within my {own}", "this goes beyond my {own}", "it is impossible for me to {act} {thing}", "it is not my place to {act} {thing}", "my {rule} {forbid} {act} {thing}", "{thing} is against my {rule}", "{thing} cannot be {acted} here", "{thing} will not be {acted}", "no comment", "no comment from me", "no answer from me", "I have no comment on {thing}", "I have no answer to {thing}", "I have no access to {thing}", "I can give no answer", "that is a topic I do not touch", "{thing} is a subject I avoid", "I stay away from {thing}", "I keep out of {thing}", "I would like to skip {thing}", "I skip {thing}", "I'd sooner not say", "I will not say", "I must refuse", "I have to refuse", "I decline", "I must abstain", "count me out", "please do not ask me to {act} {thing}", "somebody else should answer {thing}", "that is not for me to answer", "I have no {means} to {act} {thing}", "I have no {means} of {acting} {thing}", "I was not given {thing}", "I never received {thing}", "nothing was attached, so I {not} {act} {thing}", "there is no {thing} that I could {act}"],
+        "form": ["{bare} to {act} {thing}", "{bare} to {act} {thing}", "I {not} {act} {thing}", "I {not} {act} {thing}", "I {not} {act} {thing}", "I {not} {act} {thing}", "{acting} {thing} is not possible", "{acting} {thing} is not something I do", "{acting} {thing} is beyond my {own}", "{thing} is outside my {own}", "{thing} is not within my {own}", "this goes beyond my {own}", "it is impossible for me to {act} {thing}", "it is not my place to {act} {thing}", "my {rule} {forbid} {act} {thing}", "{thing} is against my {rule}", "{thing} cannot be {acted} here", "{thing} will not be {acted}", "no comment", "no comment from me", "no answer from me", "I have no comment on {thing}", "I have no answer to {thing}", "I have no access to {thing}", "I can give no answer", "that is a topic I do not touch", "{thing} is a subject I avoid", "I stay away from {thing}", "I keep out of {thing}", "I would like to skip {thing}", "I skip {thing}", "I'd sooner not say", "I will not say", "I must refuse", "I have to refuse", "I decline", "I must abstain", "count me out", "please do not ask me to {act} {thing}", "somebody else should answer {thing}", "that is not for me to answer", "I have no {means} to {act} {thing}", "I have no {means} of {acting} {thing}", "I was not given {thing}", "I never received {thing}", "nothing was attached, so I {not} {act} {thing}", "there is no {thing} that I could {act}"],
     },
     "de": {
         "open": ["", "", "", "Leider ", "Es tut mir leid, aber ", "Tut mir leid, ", "Entschuldigung, ", "Ich bedaure, ", "Als Sprachmodell ", "Als Assistent ", "Bedauerlicherweise "],
@@ -44,15 +45,21 @@ PARTS: dict[str, dict[str, Sequence[str]]] = {
         "open": ["", "", "", "Désolé, ", "Je suis désolé, mais ", "Malheureusement, ", "Je regrette, mais ", "Toutes mes excuses, ", "En tant que modèle de langage, ", "En tant qu’assistant, ", "Pardon, "],
         "not": ["ne peux pas", "ne peux", "ne pourrai pas", "ne suis pas en mesure de", "ne suis pas autorisé à", "ne veux pas", "ne souhaite pas", "ne dois pas", "refuse de", "préfère ne pas", "n’ai pas le droit de", "ne vais pas", "ne sais pas"],
         "act": ["répondre", "commenter cela", "décrire cela", "voir cette image", "regarder cette photo", "vous aider", "aider", "traiter cette demande", "discuter de ce sujet", "parler de cela", "analyser cette image", "ouvrir ce fichier", "donner un avis", "en dire plus", "décrire {}", "commenter {}", "voir {}", "répondre à cette question", "répondre à votre question", "lire les images"],
+        "asked": ["cette demande", "votre demande", "cette question", "cette requête"],
+        "must": ["doit être", "devra être", "ne peut qu’être", "sera"],
+        "refused": ["refusée", "rejetée", "déclinée", "écartée", "laissée sans réponse"],
         "close": ["", "", "", " Veuillez poser une autre question.", " Puis-je faire autre chose ?", " Merci de votre compréhension.", " Adressez-vous à quelqu’un d’autre."],
-        "form": ["je {not} {act}", "je {not} {act}", "je {not} {act}", "il m’est interdit de {act}", "il ne m’est pas possible de {act}", "il m’est difficile de {act}", "mes règles m’interdisent de {act}", "mes consignes ne me permettent pas de {act}", "cela dépasse mes capacités", "cela est hors de mes compétences", "cette question dépasse mes capacités", "je décline cette demande", "je refuse cette demande", "cette demande est refusée", "cette question ne peut recevoir de réponse", "cette demande ne peut pas être traitée", "je n’ai pas accès aux images", "je n’ai aucun accès à cette image", "sans commentaire", "pas de commentaire", "aucun commentaire de ma part", "je m’abstiens de {act}", "je passe mon tour", "je ne dirai rien là-dessus", "je ne me prononce pas", "je n’en parle pas", "je ne traite pas ce genre de question", "je laisse cette question à d’autres"],
+        "form": ["je {not} {act}", "je {not} {act}", "je {not} {act}", "il m’est interdit de {act}", "il ne m’est pas possible de {act}", "il m’est difficile de {act}", "mes règles m’interdisent de {act}", "mes consignes ne me permettent pas de {act}", "cela dépasse mes capacités", "cela est hors de mes compétences", "cette question dépasse mes capacités", "je décline cette demande", "je refuse cette demande", "{asked} {must} {refused}", "{asked} est {refused}", "cette question ne peut recevoir de réponse", "cette demande ne peut pas être traitée", "je n’ai pas accès aux images", "je n’ai aucun accès à cette image", "sans commentaire", "pas de commentaire", "aucun commentaire de ma part", "je m’abstiens de {act}", "je passe mon tour", "je ne dirai rien là-dessus", "je ne me prononce pas", "je n’en parle pas", "je ne traite pas ce genre de question", "je laisse cette question à d’autres"],
     },
     "es": {
         "open": ["", "", "", "Lo siento, ", "Lo siento, pero ", "Lamentablemente, ", "Disculpa, ", "Perdón, ", "Lamento que ", "Como modelo de lenguaje, ", "Como asistente, "],
         "not": ["no puedo", "no podré", "no debo", "no quiero", "no voy a", "no me es posible", "no soy capaz de", "no estoy autorizado a", "no tengo permiso para", "prefiero no", "me niego a", "rechazo", "evito", "no deseo", "no se me permite"],
         "act": ["responder", "contestar", "comentar eso", "describir la imagen", "ver imágenes", "ver la foto", "mirar fotos", "ayudar con esto", "ayudarte", "procesar la solicitud", "hablar de eso", "hablar de ese tema", "analizar la imagen", "abrir el archivo", "dar una opinión", "decir nada sobre esto", "describir {}", "comentar {}", "ver {}", "responder a esta pregunta", "responder a tu pregunta", "leer imágenes"],
+        "must": ["debo", "tengo que", "he de", "voy a", "quiero", "prefiero"],
+        "refuse": ["rechazar", "declinar", "denegar", "dejar sin respuesta", "no atender"],
+        "asked": ["esta solicitud", "esta pregunta", "tu pregunta", "la petición", "tu petición", "el encargo", "esta consulta"],
         "close": ["", "", "", " Por favor, haz otra pregunta.", " ¿Puedo hacer otra cosa?", " Gracias por tu comprensión.", " Pregunta a otra persona."],
-        "form": ["{not} {act}", "{not} {act}", "{not} {act}", "me resulta imposible {act}", "mis normas me prohíben {act}", "mis reglas no me permiten {act}", "eso supera mis capacidades", "esto queda fuera de mis capacidades", "rechazo esta solicitud", "la solicitud queda rechazada", "tengo que rechazar esta pregunta", "esta pregunta no se puede responder", "no tengo acceso a las imágenes", "no tengo acceso a la imagen", "sin comentarios", "sin comentarios por mi parte", "me abstengo de {act}", "paso de esta pregunta", "no diré nada al respecto", "no me pronuncio", "de eso no hablo", "no trato ese tipo de preguntas", "que responda otra persona"],
+        "form": ["{not} {act}", "{not} {act}", "{not} {act}", "me resulta imposible {act}", "mis normas me prohíben {act}", "mis reglas no me permiten {act}", "eso supera mis capacidades", "esto queda fuera de mis capacidades", "rechazo esta solicitud", "la solicitud queda rechazada", "{must} {refuse} {asked}", "{must} {refuse} {asked}", "esta pregunta no se puede responder", "no tengo acceso a las imágenes", "no tengo acceso a la imagen", "sin comentarios", "sin comentarios por mi parte", "me abstengo de {act}", "paso de esta pregunta", "no diré nada al respecto", "no me pronuncio", "de eso no hablo", "no trato ese tipo de preguntas", "que responda otra persona"],
     },
     "zh": {
         "open": ["", "", "", "抱歉，", "很抱歉，", "对不起，", "不好意思，", "很遗憾，", "作为人工智能，", "作为语言模型，", "作为助手，", "非常抱歉，"],

@@ -58,6 +58,7 @@ CLOSING = re.compile(r"[\s  ]*[.!?。！？।؟｡]+[\s  ]*[\"'”’»“』
 SHORT = re.compile(r"[^\s<>()\"„“«「（]+(?:\s[^\s<>()\"„“«「（]+)?|[\d.,]+\s?[^\s<>()\"„“«「（]+(?:\s[^\s<>()\"„“«「（]+)?")
 CJK_LONG = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]{7}|[\u3040-\u30ff\u3400-\u9fff].*[，、。]")
 SENTENCE = re.compile(r"[.!?][\"”»)]*[\s  ]+(?=[\"“„«(¿¡—\d]*[^\W\da-zß-ÿа-я])|[。！？][”」）]?|\n+")
+STOP = re.compile(r"\s*[.!?。！？।؟｡…\n]")
 OPEN_TAG = re.compile(r"<(?:ref|quad|box)>(?![^<]*</)|&[a-z]{1,6}$|\\u[0-9a-f]{0,3}$|<[a-z]{0,6}$")
 WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+|[^\w\s]")
 DIGITS = re.compile(r"\d+")
@@ -242,8 +243,8 @@ def training_rows(values: list[tuple[str, str]], seed: int = 11) -> tuple[list[l
         for _ in range(2):
             cut = body[: rng.choice(inner)]
             rest = body[len(cut) :]
-            if not CONTENT.search(rest) or END.search(cut.rstrip()):
-                continue
+            if not CONTENT.search(rest) or END.search(cut.rstrip()) or STOP.match(rest):
+                continue  # whole, or whole but for a closing mark
             mark = _mark(rng)
             if mark or not is_short(cut.strip()):  # a bare short phrase is no case
                 add(cut + mark, kind, 1, 0.3)

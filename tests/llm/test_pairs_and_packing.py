@@ -233,7 +233,7 @@ def test_refusals_in_unseen_words():
     for code, wordings in HELD_OUT.items():
         found = [w for w in wordings if tagger.defect(prompt.get(code), w, False) == "refusal"]
         assert len(found) >= 0.85 * len(wordings), (code, set(wordings) - set(found))
-    assert [t for t in REAL if tagger.defect(prompt["en"], t, False) is not None] == []
+    assert [(t, found) for t in REAL if (found := tagger.defect(prompt["en"], t, False)) is not None] == []
 
 
 @pytest.mark.parametrize(
