@@ -22,12 +22,16 @@ PARTS: dict[str, dict[str, Sequence[str]]] = {
         "acted": ["answered", "discussed", "described", "processed", "handled", "commented on", "given"],
         "thing": ["this", "that", "it", "this question", "that question", "your question", "this request", "such requests", "this image", "images", "image questions", "pictures", "this picture", "photos", "the photo", "this topic", "that subject", "this matter", "such content", "anything like that", "files", "attachments", "{}"],
         "own": ["abilities", "capabilities", "remit", "scope", "rules", "competence", "permissions", "role", "limits"],
+        "lies": ["is", "lies", "falls", "goes", "would be"],
+        "beyond": ["beyond", "outside", "past", "against"],
+        "mine": ["my abilities", "my capabilities", "my limits", "what I may do", "what I can do here", "my permissions", "the rules I work by"],
+        "feel": ["at ease", "safe", "right", "happy", "free"],
         "bare": ["unable", "not able", "not allowed", "not permitted", "not going"],
         "means": ["way", "means", "ability", "possibility", "right", "tools"],
         "rule": ["policy", "policies", "rules", "guidelines", "programming", "terms", "settings", "operators", "developers"],
         "forbid": ["forbid me to", "do not let me", "do not permit me to", "prevent me: I may not", "keep me from it: I will not", "stop me: I cannot", "do not allow that I"],
         "close": ["", "", "", "", " Please try another question.", " Please ask somebody else.", " Can I help with something else?", " Is there something else I can do?", " Let me know if you have other questions.", "; please send something different.", " Thank you for understanding.", " I hope you understand.", " Perhaps a specialist can help.", " Please contact support."],
-        "form": ["{bare} to {act} {thing}", "{bare} to {act} {thing}", "I {not} {act} {thing}", "I {not} {act} {thing}", "I {not} {act} {thing}", "I {not} {act} {thing}", "{acting} {thing} is not possible", "{acting} {thing} is not something I do", "{acting} {thing} is beyond my {own}", "{thing} is outside my {own}", "{thing} is not within my {own}", "this goes beyond my {own}", "it is impossible for me to {act} {thing}", "it is not my place to {act} {thing}", "my {rule} {forbid} {act} {thing}", "{thing} is against my {rule}", "{thing} cannot be {acted} here", "{thing} will not be {acted}", "no comment", "no comment from me", "no answer from me", "I have no comment on {thing}", "I have no answer to {thing}", "I have no access to {thing}", "I can give no answer", "that is a topic I do not touch", "{thing} is a subject I avoid", "I stay away from {thing}", "I keep out of {thing}", "I would like to skip {thing}", "I skip {thing}", "I'd sooner not say", "I will not say", "I must refuse", "I have to refuse", "I decline", "I must abstain", "count me out", "please do not ask me to {act} {thing}", "somebody else should answer {thing}", "that is not for me to answer", "I have no {means} to {act} {thing}", "I have no {means} of {acting} {thing}", "I was not given {thing}", "I never received {thing}", "nothing was attached, so I {not} {act} {thing}", "there is no {thing} that I could {act}"],
+        "form": ["{bare} to {act} {thing}", "{bare} to {act} {thing}", "I {not} {act} {thing}", "I {not} {act} {thing}", "I {not} {act} {thing}", "I {not} {act} {thing}", "{acting} {thing} is not possible", "{acting} {thing} is not something I do", "{acting} {thing} {lies} {beyond} {mine}", "{acting} {thing} {lies} {beyond} {mine}", "I do not feel {feel} {acting} {thing}", "{thing} is outside my {own}", "{thing} is not within my {own}", "this goes beyond my {own}", "it is impossible for me to {act} {thing}", "it is not my place to {act} {thing}", "my {rule} {forbid} {act} {thing}", "{thing} is against my {rule}", "{thing} cannot be {acted} here", "{thing} will not be {acted}", "no comment", "no comment from me", "no answer from me", "I have no comment on {thing}", "I have no answer to {thing}", "I have no access to {thing}", "I can give no answer", "that is a topic I do not touch", "{thing} is a subject I avoid", "I stay away from {thing}", "I keep out of {thing}", "I would like to skip {thing}", "I skip {thing}", "I'd sooner not say", "I will not say", "I must refuse", "I have to refuse", "I decline", "I must abstain", "count me out", "please do not ask me to {act} {thing}", "somebody else should answer {thing}", "that is not for me to answer", "I have no {means} to {act} {thing}", "I have no {means} of {acting} {thing}", "I was not given {thing}", "I never received {thing}", "nothing was attached, so I {not} {act} {thing}", "there is no {thing} that I could {act}"],
     },
     "de": {
         "open": ["", "", "", "Leider ", "Es tut mir leid, aber ", "Tut mir leid, ", "Entschuldigung, ", "Ich bedaure, ", "Als Sprachmodell ", "Als Assistent ", "Bedauerlicherweise "],
