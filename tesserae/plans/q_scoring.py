@@ -187,7 +187,7 @@ def accuracy_gain(s: SparkSession, d: str) -> DataFrame:
 def answer_lookup(s: SparkSession, d: str) -> DataFrame:
     """Gold answers of all redelivered rows of a question as one list."""
     q = table(s, d, "vqa_question").where("question_id is not null and answer is not null")
-    return q.select("source", "split", "question_id", F.explode("answer").alias("a")).groupBy("source", "split", "question_id").agg(F.array_join(F.array_sort(F.collect_set("a")), "|").alias("answers"), F.count(F.lit(1)).alias("n"))
+    return q.select("source", "split", "question_id", F.explode("answer").alias("a")).groupBy("source", "split", "question_id").agg(F.array_join(F.array_sort(F.collect_list("a")), "|").alias("answers"), F.count(F.lit(1)).alias("n"))
 
 
 def key_set_differences(s: SparkSession, d: str) -> DataFrame:
@@ -333,7 +333,7 @@ SQL = {
     "accuracy_gain": f"""WITH r AS (SELECT CASE WHEN {_HIT} THEN 1 ELSE 0 END AS h, CASE WHEN list_contains({_G.format(STRIP.format('lower(g)'))}, 'yes') THEN 1 ELSE 0 END AS y, coalesce(source, 'none') AS source, coalesce(split, 'none') AS split, coalesce(run_name, 'none') AS skills FROM prediction WHERE {SCORED}),
       k AS (SELECT h, y, unnest([{{'key': 'average', 'value': 'all'}}, {{'key': 'source', 'value': source}}, {{'key': 'split', 'value': split}}, {{'key': 'skills', 'value': skills}}]) AS k FROM r), g AS (SELECT k.key AS key, k.value AS value, round(100.0 * sum(h) / count(*), 2) AS accuracy, round(100.0 * sum(y) / count(*), 2) AS chance FROM k GROUP BY 1, 2)
       SELECT key, value, accuracy, round(accuracy - chance, 2) AS gain FROM g""",
-    "answer_lookup": "SELECT source, split, question_id, list_aggregate(list_sort(list_distinct(list(a))), 'string_agg', '|') AS answers, count(*) AS n FROM (SELECT source, split, question_id, unnest(answer) AS a FROM vqa_question WHERE question_id IS NOT NULL AND answer IS NOT NULL) GROUP BY 1, 2, 3",
+    "answer_lookup": "SELECT source, split, question_id, list_aggregate(list_sort(list(a)), 'string_agg', '|') AS answers, count(*) AS n FROM (SELECT source, split, question_id, unnest(answer) AS a FROM vqa_question WHERE question_id IS NOT NULL AND answer IS NOT NULL) GROUP BY 1, 2, 3",
     "key_set_differences": """WITH p AS (SELECT DISTINCT source, split, question_id FROM prediction WHERE question_id IS NOT NULL), q AS (SELECT DISTINCT source, split, question_id FROM vqa_question WHERE question_id IS NOT NULL AND split <> 'train')
       SELECT source, count(*) AS n, 'prediction' AS side FROM (SELECT * FROM p EXCEPT SELECT * FROM q) GROUP BY 1 UNION ALL SELECT source, count(*), 'question' FROM (SELECT * FROM q EXCEPT SELECT * FROM p) GROUP BY 1""",
     "last_wins": "SELECT run_name, source, split, question_id, answer, pred_id FROM (SELECT run_name, source, split, question_id, arg_max_null(answer, pred_id) AS answer, max(pred_id) AS pred_id FROM prediction WHERE question_id IS NOT NULL GROUP BY ALL)",

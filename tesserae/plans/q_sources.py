@@ -23,7 +23,7 @@ def _nations(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "nation")
 
 
-_NATION = T.StructType.fromDDL("n_nationkey int, n_name string, n_regionkey int")
+_NATION = T.StructType().add("n_nationkey", T.IntegerType()).add("n_name", T.StringType()).add("n_regionkey", T.IntegerType())
 
 
 def json_lines_back(s: SparkSession, d: str) -> DataFrame:

@@ -52,3 +52,13 @@ def test_stream_appends_once(spark, tmp_path):
         scoring.resume_into(scoring.scored(scoring.predictions(spark, str(tmp_path / "in"), schema)), str(tmp_path / "o"), "pred_id", str(tmp_path / f"c{_}")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "o")).collect()
     assert [(r["pred_id"], r["score"]) for r in rows] == [(1, 1.0)]
+
+
+def test_queries_are_named_without_a_session():
+    """A driver asks for the names before it has a session."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and said.stdout.split()[-1] == "True", said.stderr[-2000:]
